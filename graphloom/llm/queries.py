@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from . import run_length_index, suffix_automaton
+from . import minhash, packing, pivot_search, positional_index, run_length_index, suffix_automaton, toxicity
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1,
+    "op2_benchmark_decontamination": positional_index.op2,
+    "op3_minhash_near_dedup": minhash.op3,
     "op5_substring_dedup": suffix_automaton.op5,
+    "op7_exact_top_k": pivot_search.op7,
+    "op8_packing": packing.op8,
     "op9_suffix_array_dedup": run_length_index.op9,
 }
 
