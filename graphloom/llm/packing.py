@@ -14,6 +14,7 @@ the partitions' counts: no task ever sorts or holds a group of pieces.
 
 from __future__ import annotations
 
+import itertools
 import os
 import zlib
 from collections.abc import Iterator
@@ -25,66 +26,158 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import tables
-from .textscan import RAW_WORDS, Words, chunks, flat
+from .textscan import chunks, flat, hash_runs, rows_of
 
-_CACHED = 400_000
+#: Units whose ids a worker keeps (about 40 bytes each), and units encoded in one string.
+_CACHED, _JOINED = 1_000_000, 512
 _ENCODERS: dict[str, Encoder] = {}
 
+_LETTER, _DIGIT, _MARK, _OTHER = 1, 2, 3, 4
 
-class Encoder:
-    """A tokenizer that drops white space, with its results kept by word.
 
-    Such a tokenizer's ids for a text are the ids of its white-space separated
-    words one after another, and most words come again.
+def _classes() -> np.ndarray:
+    """Class of each ASCII byte; 0 is white space.
+
+    An apostrophe may begin a contraction, a bar a special token, and a control
+    character may be anything, so words with one are left whole.
+    """
+    c = np.full(256, _OTHER, dtype=np.uint8)
+    c[33:127] = _MARK
+    c[48:58] = _DIGIT
+    c[65:91] = c[97:123] = _LETTER
+    c[[39, 124]] = _OTHER
+    c[[9, 10, 11, 12, 13, 32]] = 0
+    return c
+
+
+_CLASS = _classes()
+
+
+class Units:
+    """The smallest parts of a text that a white-space dropping, lower-casing word tokenizer encodes on its own.
+
+    Parts are runs of letters, single digits and runs of punctuation, as far as
+    words are made of ASCII and accented Latin-1 letters; any other word is one
+    part.  Letters are lower-cased, which merges what the tokenizer cannot tell
+    apart.
     """
 
+    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+        kind, fold = _CLASS[data], data.copy()
+        fold[(data >= 65) & (data <= 90)] += 32
+        lead = np.flatnonzero(data == 0xC3)
+        if len(lead):
+            after = data[lead + 1]  # a lead byte is never the last
+            letter = (after != 0x97) & (after != 0xB7)
+            lead, after = lead[letter], after[letter]
+            kind[lead] = kind[lead + 1] = _LETTER
+            fold[lead + 1] = np.where(after < 0x9F, after + 0x20, after)
+        space = kind == 0
+        begins = offsets[:-1][offsets[:-1] < len(data)]
+        word = ~space
+        edge = word.copy()
+        edge[1:] &= space[:-1]
+        edge[begins] = word[begins]
+        start = np.flatnonzero(edge)
+        if len(start):
+            whole = np.maximum.reduceat(np.where(word, kind, 0), start) == _OTHER
+            number = np.cumsum(edge) - 1
+            kept = whole[number] & word if whole.any() else None
+            inner = edge.copy()
+            inner[1:] |= word[1:] & ((kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT))
+            if kept is not None:
+                inner = np.where(kept, edge, inner)
+                np.copyto(fold, data, where=kept)
+            start = np.flatnonzero(inner)
+            last = word.copy()
+            last[:-1] &= space[1:] | inner[1:]
+            self.end = np.flatnonzero(last) + 1
+            self.letters = (kind[start] == _LETTER) & ~(kept[start] if kept is not None else np.zeros(len(start), dtype=bool))
+        else:
+            self.end, self.letters = start, np.zeros(0, dtype=bool)
+        self.start, self.word, self.fold = start, word, fold
+        self.first = rows_of(offsets, start)
+        self.hash = hash_runs(fold[word], self.end - self.start)
+
+
+class Encoder:
+    """A tokenizer file whose results are kept by unit."""
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self._clear()
 
     def _clear(self) -> None:
-        self.number: dict[int, int] = {}
-        self.begin = np.zeros(1024, dtype=np.int64)
-        self.size = np.zeros(1024, dtype=np.int64)
-        self.ids = np.zeros(4096, dtype=np.uint32)
+        self.known = np.zeros(0, dtype=np.uint64)
+        self.begin = np.zeros(0, dtype=np.int64)
+        self.size = np.zeros(0, dtype=np.int64)
+        self.ids = np.zeros(1 << 16, dtype=np.uint32)
         self.used = 0
 
-    def _learn(self, hashes: list[int], words: list[str]) -> None:
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        have, sizes = len(self.number), np.array([len(x) for x in found], dtype=np.int64)
-        flat_ids = np.array([i for x in found for i in x], dtype=np.uint32)
-        while have + len(found) > len(self.size):
-            self.begin, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.size))
-        while self.used + len(flat_ids) > len(self.ids):
+    def _encode(self, units: list[str], letters: list[bool]) -> list[list[int]]:
+        """Ids of each unit.  Runs of letters are encoded many at a time: each ends with its one closing id."""
+        out: list = [None] * len(units)
+        many = [k for k, x in enumerate(letters) if x]
+        rest = [k for k, x in enumerate(letters) if not x]
+        groups = [many[a : a + _JOINED] for a in range(0, len(many), _JOINED)]
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join([units[k] for k in g]) for g in groups], add_special_tokens=False), strict=True):
+            ids = e.ids
+            ends = (np.flatnonzero(self.closes[ids]) + 1).tolist()
+            if len(ends) != len(group) or ends[-1] != len(ids):
+                rest += group
+                continue
+            a = 0
+            for k, b in zip(group, ends, strict=True):
+                out[k] = ids[a:b]
+                a = b
+        for k, e in zip(rest, self.tokenizer.encode_batch_fast([units[k] for k in rest], add_special_tokens=False), strict=True):
+            out[k] = e.ids
+        return out
+
+    def _learn(self, hashes: np.ndarray, units: list[str], letters: list[bool]) -> None:
+        found = self._encode(units, letters)
+        size = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+        new = np.fromiter(itertools.chain.from_iterable(found), dtype=np.uint32, count=int(size.sum()))
+        while self.used + len(new) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        self.begin[have : have + len(found)] = self.used + np.cumsum(sizes) - sizes
-        self.size[have : have + len(found)] = sizes
-        self.ids[self.used : self.used + len(flat_ids)] = flat_ids
-        self.used += len(flat_ids)
-        self.number.update(zip(hashes, range(have, have + len(found)), strict=True))
+        self.ids[self.used : self.used + len(new)] = new
+        at = np.searchsorted(self.known, hashes)
+        self.known = np.insert(self.known, at, hashes)
+        self.begin = np.insert(self.begin, at, self.used + np.cumsum(size) - size)
+        self.size = np.insert(self.size, at, size)
+        self.used += len(new)
+
+    def _missing(self, hashes: np.ndarray) -> np.ndarray:
+        if not len(self.known):
+            return np.ones(len(hashes), dtype=bool)
+        at = np.searchsorted(self.known, hashes)
+        at[at == len(self.known)] = 0
+        return self.known[at] != hashes
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all rows, rows' bounds)."""
-        w = Words(data, offsets, RAW_WORDS)
-        unique, one, which = np.unique(w.hash, return_index=True, return_inverse=True)
-        if len(self.number) + len(unique) > _CACHED:
+        u = Units(data, offsets)
+        unique, one, which = np.unique(u.hash, return_index=True, return_inverse=True)
+        if len(self.known) + len(unique) > _CACHED:
             self._clear()
-        get = self.number.get
-        hashes = unique.tolist()
-        new = [k for k, h in enumerate(hashes) if get(h) is None]
-        if new:
-            raw = data.tobytes()
-            spans = zip(w.start[one[new]].tolist(), w.end[one[new]].tolist(), strict=True)
-            self._learn([hashes[k] for k in new], [raw[a:b].decode() for a, b in spans])
-        number = np.fromiter((get(h) for h in hashes), dtype=np.int64, count=len(hashes))[which]
+        missing = self._missing(unique)
+        if missing.any():
+            raw = u.fold.tobytes()
+            at = one[missing]
+            units = [raw[a:b].decode() for a, b in zip(u.start[at].tolist(), u.end[at].tolist(), strict=True)]
+            self._learn(unique[missing], units, u.letters[at].tolist())
+        number = np.searchsorted(self.known, unique)[which]
         size, begin = self.size[number], self.begin[number]
         after = np.cumsum(size)
         total = int(after[-1]) if len(after) else 0
         place = np.arange(total, dtype=np.int64) + np.repeat(begin - (after - size), size)
-        bound = np.concatenate([[0], after])[w.first] if len(after) else np.zeros(len(offsets), dtype=np.int64)
+        bound = np.concatenate([[0], after])[u.first] if len(after) else np.zeros(len(offsets), dtype=np.int64)
         return self.ids[place], bound
 
 
@@ -242,7 +335,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end: int = 2) ->
     # at most one row per length: `capacity` rows
     histogram = {r.length: r.c for r in counts.groupBy("length").agg(F.sum("c").alias("c")).collect()}
     table = plan(histogram, capacity)
-    ranked = pieces.join(counts.select("length", "part", "before"), ["length", "part"]).withColumn("rank", F.col("before") + F.col("k"))
+    ranked = pieces.join(counts.select("length", "part", "before").hint("shuffle_hash"), ["length", "part"]).withColumn("rank", F.col("before") + F.col("k"))
     return ranked.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "rank").mapInArrow(_place(table), PACKED)
 
 

@@ -106,22 +106,22 @@ class Words:
         last[:-1] &= ~is_word[1:] | edge[1:]
         self.end = np.flatnonzero(last) + 1
         self.first = rows_of(offsets, self.start)
-        self.hash = self._hash(table[1][data], is_word) if hashed else None
-
-    def _hash(self, data: np.ndarray, is_word: np.ndarray) -> np.ndarray:
-        if not len(self.start):
-            return np.zeros(0, dtype=_U)
-        size = self.end - self.start
-        body = data[is_word]
-        begin = np.zeros(len(size), dtype=np.int64)
-        np.cumsum(size[:-1], out=begin[1:])
-        place = np.arange(len(body), dtype=np.int64)
-        place -= np.repeat(begin, size)
-        place &= _LONGEST - 1
-        h = np.add.reduceat(_BYTE[body] * _PLACE[place], begin)
-        for i in np.flatnonzero(size > _LONGEST):
-            h[i] = xxhash.xxh3_64_intdigest(body[begin[i] : begin[i] + size[i]].tobytes())
-        return mix(h + size.astype(_U) * _U(0x9E3779B97F4A7C15))
+        self.hash = hash_runs(table[1][data][is_word], self.end - self.start) if hashed else None
+
+
+def hash_runs(body: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """64-bit hash of each of the byte runs of these sizes that `body` is made of."""
+    if not len(size):
+        return np.zeros(0, dtype=_U)
+    begin = np.zeros(len(size), dtype=np.int64)
+    np.cumsum(size[:-1], out=begin[1:])
+    place = np.arange(len(body), dtype=np.int64)
+    place -= np.repeat(begin, size)
+    place &= _LONGEST - 1
+    h = np.add.reduceat(_BYTE[body] * _PLACE[place], begin)
+    for i in np.flatnonzero(size > _LONGEST):
+        h[i] = xxhash.xxh3_64_intdigest(body[begin[i] : begin[i] + size[i]].tobytes())
+    return mix(h + size.astype(_U) * _U(0x9E3779B97F4A7C15))
 
 
 def run_bounds(first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
