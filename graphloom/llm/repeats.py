@@ -50,7 +50,7 @@ NONE = np.iinfo(np.int64).max
 
 @dataclass(frozen=True)
 class Units:
-    """What a document is made of, and how long a window and its anchor are."""
+    """What a document is made of, and how long a window (below 2**15 units) and its anchor are."""
 
     words: bool
     length: int
@@ -76,6 +76,14 @@ def split(units: Units, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarr
     return w.hash, w.first, w
 
 
+def offsets_of(units: Units, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, Words | None]:
+    """(rows' bounds in units, words without hashes)."""
+    if not units.words:
+        return offsets, None
+    w = Words(data, offsets, RAW_WORDS, hashed=False)
+    return w.first, w
+
+
 def cut(units: Units, unit: np.ndarray, first: np.ndarray):
     """Segments of the rows: (row, first window within the row, windows, anchor place within the segment, anchor)."""
     gram = grams(unit, units.gram)
@@ -101,7 +109,8 @@ def _digest(body: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     return np.fromiter((h(raw[a:b]) for a, b in zip((begin * size).tolist(), (end * size).tolist(), strict=True)), dtype=_U, count=len(begin))
 
 
-OCC = "rk long, low long, anchor long, seg long, ws long, nw int, at int"
+#: place: first window, windows and anchor place within the segment, in 32, 16 and 16 bits.
+OCC = "rk long, low long, anchor long, seg long, place long"
 
 
 def segments(units: Units) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -120,8 +129,8 @@ def segments(units: Units) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
                 begin = first[row] + ws
                 seg = _digest(unit if units.words else part, begin, begin + nw + (units.length - 1))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(x) for x in (rk[i:j][row], low[i:j][row], signed(anchor), signed(seg), ws, nw.astype(np.int32), at.astype(np.int32))],
-                    names=["rk", "low", "anchor", "seg", "ws", "nw", "at"],
+                    [pa.array(x) for x in (rk[i:j][row], low[i:j][row], signed(anchor), signed(seg), ws << 32 | nw << 16 | at)],
+                    names=["rk", "low", "anchor", "seg", "place"],
                 )
 
     return run
@@ -131,45 +140,46 @@ CLASS = "anchor long, seg long, n long, low long, nw int, at int, rivals long, b
 
 
 def bodies(units: Units):
-    """mapInArrow: (text, wanted: array of class structs) -> the classes with their unit hashes (words) or bytes."""
+    """mapInArrow: (text, wanted: array of class structs) -> the classes with their bytes."""
+    names = ["anchor", "seg", "n", "low", "nw", "at", "rivals"]
 
     def run(batches):
         for batch in batches:
             data, offsets = flat(batch.column("text"))
             wanted = batch.column("wanted")
             for i, j, part, off in chunks(data, offsets):
-                unit, first, _ = split(units, part, off)
-                source = unit if units.words else part
-                rows = wanted.slice(i, j - i).to_pylist()
-                out = [
-                    (c["anchor"], c["seg"], c["n"], c["low"], c["nw"], c["at"], c["rivals"], source[first[r] + c["ws"] : first[r] + c["ws"] + c["nw"] + units.length - 1].tobytes())
-                    for r, row in enumerate(rows)
-                    for c in row
-                ]
-                if out:
-                    yield _classes(out)
+                own = wanted.slice(i, j - i)
+                rows, count = own.flatten(), own.value_lengths().to_numpy(zero_copy_only=False)
+                if not len(rows):
+                    continue
+                field = lambda x, rows=rows: rows.field(x).to_numpy(zero_copy_only=False)
+                first, w = offsets_of(units, part, off)
+                begin = first[np.repeat(np.arange(j - i), count)] + field("ws")
+                end = begin + field("nw") + (units.length - 1)
+                if w is not None:
+                    begin, end = w.start[begin], w.end[end - 1]
+                size = end - begin
+                after = np.cumsum(size)
+                place = np.arange(after[-1], dtype=np.int64) + np.repeat(begin - (after - size), size)
+                bound = np.concatenate([[0], after]).astype(np.int32)
+                body = pa.BinaryArray.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(bound), pa.py_buffer(part[place])])
+                yield pa.RecordBatch.from_arrays([*(rows.field(x) for x in names), body], names=[*names, "body"])
 
     return run
 
 
-def _classes(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
-    names = ("anchor", "seg", "n", "low", "nw", "at", "rivals", "body")
-    return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=list(names))
-
-
 PIECE = "panchor long, pseg long, shift int, anchor long, seg long, n long, low long, nw int, at int, body binary"
 
 
 def pieces(units: Units, cell: int):
     """mapInArrow: classes of a large group -> their windows by the anchor's place in them, `cell` places a piece."""
-    size = 8 if units.words else 1
 
     def run(batches):
         for batch in batches:
             out = []
             for c in batch.to_pylist():
-                body = memoryview(c["body"])
+                body = c["body"].split() if units.words else c["body"]
+                text = b" ".join if units.words else bytes
                 # place o of the anchor in a window: from at - (nw - 1) to at
                 high, least = c["at"], c["at"] - c["nw"] + 1
                 for k in range(least // cell, high // cell + 1):
@@ -177,11 +187,11 @@ def pieces(units: Units, cell: int):
                     begin, end = c["at"] - hi, c["at"] - lo + units.length
                     # all windows of the whole cell have these units, whichever of them this class holds
                     core_at = c["at"] - k * cell
-                    core = body[core_at * size : (core_at - cell + 1 + units.length) * size]
+                    core = text(body[core_at : core_at - cell + 1 + units.length])
                     anchor = xxhash.xxh3_64_intdigest(core, seed=(c["anchor"] + k * 0x9E3779B9) & 0xFFFFFFFFFFFFFFFF)
-                    piece = body[begin * size : end * size]
+                    piece = text(body[begin:end])
                     seg = xxhash.xxh3_64_intdigest(piece)
-                    out.append((c["anchor"], c["seg"], begin, _signed(anchor), _signed(seg), c["n"], c["low"], hi - lo + 1, hi, bytes(piece)))
+                    out.append((c["anchor"], c["seg"], begin, _signed(anchor), _signed(seg), c["n"], c["low"], hi - lo + 1, hi, piece))
             if out:
                 kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
                 names = ["panchor", "pseg", "shift", "anchor", "seg", "n", "low", "nw", "at", "body"]
@@ -199,39 +209,61 @@ MARK = "anchor long, seg long, runs array<struct<lo:int,hi:int,low:long>>"
 
 def shards(units: Units, verdict: Callable[[list[bytes], list[int], list[int], list[int]], list[Verdict]]):
     """mapInArrow over partitions sorted by anchor: index whole groups, up to `shard` units at a time."""
-    size = 8 if units.words else 1
+    kind = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32()), ("low", pa.int64())]))
+    columns = ("anchor", "seg", "body", "n", "low", "nw", "rivals")
 
     def flush(rows: list[tuple]) -> pa.RecordBatch:
-        found = verdict([r[2] for r in rows], [r[3] for r in rows], [r[4] for r in rows], [r[5] for r in rows])
-        kept = [(r[0], r[1], [{"lo": a, "hi": b, "low": low} for a, b, low in runs]) for r, runs in zip(rows, found, strict=True) if runs]
-        kind = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32()), ("low", pa.int64())]))
+        anchor, seg, body, n, low, nw, _ = zip(*rows, strict=True)
+        kept = [(a, s, [{"lo": x, "hi": y, "low": z} for x, y, z in runs]) for a, s, runs in zip(anchor, seg, verdict(body, n, low, nw), strict=True) if runs]
         return pa.RecordBatch.from_arrays(
-            [pa.array([k[0] for k in kept], pa.int64()), pa.array([k[1] for k in kept], pa.int64()), pa.array([k[2] for k in kept], kind)],
-            names=["anchor", "seg", "runs"],
+            [pa.array([k[0] for k in kept], pa.int64()), pa.array([k[1] for k in kept], pa.int64()), pa.array([k[2] for k in kept], kind)], names=["anchor", "seg", "runs"]
         )
 
     def run(batches):
         rows: list[tuple] = []
         held, last = 0, None
         for batch in batches:
-            for c in zip(*(batch.column(x).to_pylist() for x in ("anchor", "seg", "body", "n", "low", "nw", "rivals")), strict=True):
+            for c in zip(*(batch.column(x).to_pylist() for x in columns), strict=True):
                 if c[0] != last and held and held + c[6] * 2 * units.length > units.shard:
                     yield flush(rows)
                     rows, held = [], 0
                 last = c[0]
                 rows.append(c)
-                held += len(c[2]) // size
+                held += c[5] + units.length - 1
         if rows:
             yield flush(rows)
 
     return run
 
 
-def _whole(nw, low) -> F.Column:
-    return F.array(F.struct(F.lit(0).alias("lo"), (nw - 1).cast("int").alias("hi"), low.alias("low")))
+def _ws(place) -> F.Column:
+    return F.shiftright(place, 32)
+
+
+def _nw(place) -> F.Column:
+    return F.shiftright(place, 16).bitwiseAND(F.lit(0xFFFF)).cast("int")
+
 
+def _at(place) -> F.Column:
+    return place.bitwiseAND(F.lit(0xFFFF)).cast("int")
 
-def _resolve(units: Units, classes: DataFrame, verdict, step: int) -> DataFrame:
+
+class _Scratch:
+    """Tables that are deleted once what was made of them is stored."""
+
+    def __init__(self):
+        self.tables: list[DataFrame] = []
+
+    def keep(self, frame: DataFrame, name: str) -> DataFrame:
+        self.tables.append(tables.keep(frame, name))
+        return self.tables[-1]
+
+    def clear(self) -> None:
+        while self.tables:
+            tables.drop(self.tables.pop())
+
+
+def _resolve(units: Units, classes: DataFrame, verdict, step: int, scratch: _Scratch) -> DataFrame:
     """MARK rows of CLASS rows (distinct by anchor and seg, each anchor with all its classes)."""
     spark = classes.sparkSession
     few = classes.filter(F.col("rivals") <= units.most)
@@ -240,15 +272,16 @@ def _resolve(units: Units, classes: DataFrame, verdict, step: int) -> DataFrame:
     many = classes.filter(F.col("rivals") > units.most)
     if step >= len(units.cells) or many.isEmpty():
         return out
-    split_up = tables.keep(many.mapInArrow(pieces(units, units.cells[step]), PIECE), "pieces")
-    distinct = tables.keep(
+    split_up = scratch.keep(many.mapInArrow(pieces(units, units.cells[step]), PIECE), "pieces")
+    distinct = scratch.keep(
         split_up.groupBy("anchor", "seg").agg(
             F.sum("n").alias("n"), F.min("low").alias("low"), F.min("nw").alias("nw"), F.min("at").alias("at"), F.min("body").alias("body")
         ),
         "distinct",
     )
-    alone, rivals = _rivals(distinct)
-    verdicts = alone.unionByName(_resolve(units, tables.keep(distinct.join(rivals, "anchor"), "rival-pieces"), verdict, step + 1))
+    alone, rivals = _rivals(distinct, F.col("nw"), scratch)
+    rival_pieces = scratch.keep(distinct.join(rivals.hint("shuffle_hash"), "anchor"), "rival-pieces")
+    verdicts = alone.unionByName(_resolve(units, rival_pieces, verdict, step + 1, scratch))
     shifted = F.transform("runs", lambda r: F.struct((r["lo"] + F.col("shift")).alias("lo"), (r["hi"] + F.col("shift")).alias("hi"), r["low"].alias("low")))
     back = (
         split_up.select("panchor", "pseg", "shift", "anchor", "seg")
@@ -260,11 +293,16 @@ def _resolve(units: Units, classes: DataFrame, verdict, step: int) -> DataFrame:
     return out.unionByName(back)
 
 
-def _rivals(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """MARK rows of the classes alone under their anchor (their own count decides), and the other anchors' class counts."""
-    rivals = classes.groupBy("anchor").agg(F.count("*").alias("rivals")).filter("rivals > 1")
-    whole = F.array(F.struct(F.lit(0).alias("lo"), (F.col("nw") - 1).cast("int").alias("hi"), F.col("low").alias("low")))
-    return classes.join(rivals, "anchor", "left_anti").filter("n > 1").select("anchor", "seg", whole.alias("runs")), rivals
+def _rivals(classes: DataFrame, nw, scratch: _Scratch) -> tuple[DataFrame, DataFrame]:
+    """MARK rows of the classes alone under their anchor (their own count decides), and the other anchors' class counts.
+
+    The counts are stored: a join with them then has a shuffle on either side,
+    which adaptive execution can split at an anchor of very many classes.
+    """
+    rivals = scratch.keep(classes.groupBy("anchor").agg(F.count("*").alias("rivals")).filter("rivals > 1"), "rivals")
+    whole = F.array(F.struct(F.lit(0).alias("lo"), (nw - 1).cast("int").alias("hi"), F.col("low").alias("low")))
+    alone = classes.join(rivals.hint("shuffle_hash"), "anchor", "left_anti").filter("n > 1").select("anchor", "seg", whole.alias("runs"))
+    return alone, rivals
 
 
 def repeated(docs: DataFrame, units: Units, verdict, older: bool) -> DataFrame:
@@ -274,25 +312,28 @@ def repeated(docs: DataFrame, units: Units, verdict, older: bool) -> DataFrame:
     older=True: a window counts if its content also starts in a document with a
     smaller doc_id (a null id is above all others).
     """
-    occ = tables.keep(docs.mapInArrow(segments(units), OCC), "segments")
-    seen = occ.groupBy("anchor").agg(F.count("*").alias("c"), *([F.min("low").alias("a"), F.max("low").alias("b")] if older else []))
-    again = tables.keep(seen.filter("a < b" if older else "c > 1").select("anchor"), "anchors")
-    classes = tables.keep(
-        occ.join(again, "anchor", "left_semi")
-        .groupBy("anchor", "seg")
-        .agg(F.count("*").alias("n"), F.min("low").alias("low"), F.min("nw").alias("nw"), F.min("at").alias("at"), F.min(F.struct("rk", "ws")).alias("one")),
-        "classes",
+    scratch = _Scratch()
+    every = scratch.keep(docs.mapInArrow(segments(units), OCC), "segments")
+    seen = every.groupBy("anchor").agg(F.count("*").alias("c"), *([F.min("low").alias("a"), F.max("low").alias("b")] if older else []))
+    again = scratch.keep(seen.filter("a < b" if older else "c > 1").select("anchor"), "anchors")
+    occ = tables.keep(every.join(again.hint("shuffle_hash"), "anchor", "left_semi"), "repeated-segments")
+    scratch.clear()
+    # both firsts are of one row
+    classes = scratch.keep(
+        occ.groupBy("anchor", "seg").agg(F.count("*").alias("n"), F.min("low").alias("low"), F.first("rk").alias("rk"), F.first("place").alias("place")), "classes"
     )
-    alone, rivals = _rivals(classes)
+    alone, rivals = _rivals(classes, _nw(F.col("place")), scratch)
+    place = F.col("place")
     wanted = (
-        classes.join(rivals, "anchor")
-        .groupBy(F.col("one.rk").alias("rk"))
-        .agg(F.collect_list(F.struct("anchor", "seg", "n", "low", "one.ws", "nw", "at", "rivals")).alias("wanted"))
+        classes.join(rivals.hint("shuffle_hash"), "anchor")
+        .groupBy("rk")
+        .agg(F.collect_list(F.struct("anchor", "seg", "n", "low", _ws(place).alias("ws"), _nw(place).alias("nw"), _at(place).alias("at"), "rivals")).alias("wanted"))
     )
     # a repeated row is cut twice here; its classes have n > 1 in any case, so that changes no verdict
-    with_body = tables.keep(docs.select("rk", "text").join(wanted, "rk").select("text", "wanted").mapInArrow(bodies(units), CLASS), "bodies")
-    marks = tables.keep(alone.unionByName(_resolve(units, with_body, verdict, 0)), "marks")
-    hits = occ.select("rk", "low", "anchor", "seg", "ws").join(marks, ["anchor", "seg"])
+    with_body = scratch.keep(docs.select("rk", "text").join(wanted.hint("shuffle_hash"), "rk").select("text", "wanted").mapInArrow(bodies(units), CLASS), "bodies")
+    marks = tables.keep(alone.unionByName(_resolve(units, with_body, verdict, 0, scratch)), "marks")
+    scratch.clear()
+    hits = occ.select("rk", "low", "anchor", "seg", _ws(place).alias("ws")).join(marks.hint("shuffle_hash"), ["anchor", "seg"])
     if older:
         hits = hits.withColumn("runs", F.filter("runs", lambda r: r["low"] < F.col("low"))).filter(F.size("runs") > 0)
     span = F.transform("runs", lambda r: F.struct((F.col("ws") + r["lo"]).alias("lo"), (F.col("ws") + r["hi"] + units.length).alias("hi")))

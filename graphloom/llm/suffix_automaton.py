@@ -11,6 +11,7 @@ in which that window starts.
 from __future__ import annotations
 
 import hashlib
+import itertools
 
 import numpy as np
 import pyarrow as pa
@@ -29,27 +30,31 @@ class SuffixAutomaton:
 
     def add(self, string: list, label: int) -> None:
         size, link, to, low = self.size, self.link, self.to, self.low
-        last = 0
-        for c in string:
-            have = to[last].get(c)
-            if have is not None and size[have] == size[last] + 1:
-                last = have
-            elif have is not None:
-                last = self._clone(last, c, have)
-            else:
-                new = len(size)
-                size.append(size[last] + 1)
-                link.append(0)
+        last, n = 0, len(size)
+        for depth, c in enumerate(string, 1):
+            ways = to[last]
+            have = ways.get(c)
+            if have is None:
+                size.append(depth)
                 to.append({})
                 low.append(repeats.NONE)
-                p = last
+                ways[c] = n
+                p = link[last]
                 while p >= 0 and c not in to[p]:
-                    to[p][c] = new
+                    to[p][c] = n
                     p = link[p]
-                if p >= 0:
+                if p < 0:
+                    link.append(0)
+                else:
                     q = to[p][c]
-                    link[new] = q if size[q] == size[p] + 1 else self._clone(p, c, q)
-                last = new
+                    link.append(q)
+                    if size[q] != size[p] + 1:
+                        link[n] = self._clone(p, c, q)
+                last, n = n, len(size)
+            elif size[have] == depth:
+                last = have
+            else:
+                last, n = self._clone(last, c, have), n + 1
             if label < low[last]:
                 low[last] = label
 
@@ -69,42 +74,55 @@ class SuffixAutomaton:
     def settle(self) -> None:
         """Carry the labels up the suffix links, longest states first."""
         low, link = self.low, self.link
-        for v in sorted(range(1, len(self.size)), key=self.size.__getitem__, reverse=True):
-            if low[v] < low[link[v]]:
-                low[link[v]] = low[v]
+        for v in np.argsort(-np.array(self.size), kind="stable")[:-1].tolist():
+            up = link[v]
+            if low[v] < low[up]:
+                low[up] = low[v]
 
     def least(self, string: list, length: int) -> list[int]:
         """For each window of `length` symbols of the string: the least label it occurs under (NONE: nowhere)."""
         size, link, to, low = self.size, self.link, self.to, self.low
         out, v, matched = [], 0, 0
-        for i, c in enumerate(string):
-            while v and c not in to[v]:
+        for i, c in enumerate(string, 1):
+            after = to[v].get(c)
+            while after is None and v:
                 v = link[v]
                 matched = size[v]
-            if c in to[v]:
-                v = to[v][c]
+                after = to[v].get(c)
+            if after is not None:
+                v = after
                 matched += 1
-            # the state that holds the window itself, not the longer match
-            while size[link[v]] >= length if v else False:
-                v = link[v]
-                matched = size[v]
-            if i >= length - 1:
+                if matched >= length:
+                    # the state that holds the window itself, not the longer match
+                    up = link[v]
+                    while size[up] >= length:
+                        v, matched = up, size[up]
+                        up = link[v]
+            if i >= length:
                 out.append(low[v] if matched >= length else repeats.NONE)
         return out
 
 
 def verdict(length: int):
+    """The least document of each window; of a segment that occurs once, only windows that an earlier document has, too."""
+
     def run(bodies: list[bytes], n: list[int], low: list[int], nw: list[int]) -> list[repeats.Verdict]:
-        strings = [np.frombuffer(b, dtype=np.int64).tolist() for b in bodies]
+        size = np.fromiter(map(len, bodies), dtype=np.int64, count=len(bodies))
+        words = Words(np.frombuffer(b"".join(bodies), dtype=np.uint8), np.concatenate([[0], np.cumsum(size)]), RAW_WORDS)
+        symbols = np.unique(words.hash, return_inverse=True)[1].tolist()
+        bound = words.first.tolist()
+        strings = [symbols[a:b] for a, b in itertools.pairwise(bound)]
         automaton = SuffixAutomaton()
         for s, label in zip(strings, low, strict=True):
             automaton.add(s, label)
         automaton.settle()
         out: list[repeats.Verdict] = []
-        for s in strings:
+        for s, count, own in zip(strings, n, low, strict=True):
             runs: repeats.Verdict = []
             for i, least in enumerate(automaton.least(s, length)):
-                if runs and runs[-1][2] == least:
+                if count == 1 and least == own:
+                    continue
+                if runs and runs[-1][2] == least and runs[-1][1] == i - 1:
                     runs[-1] = (runs[-1][0], i, least)
                 else:
                     runs.append((i, i, least))
