@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 from . import licences, masked_lm, minhash, packing, page_text, pivot_search, positional_index, run_length_index, suffix_automaton, toxicity
+from .oracles import ORACLES
+
+__all__ = ["ORACLES", "QUERIES"]
 
 QUERIES = {
     "op1_toxicity": toxicity.op1,
@@ -17,8 +20,6 @@ QUERIES = {
     "op10_html_extraction": page_text.op10,
 }
 
-ORACLES: dict[str, str] = {}
-
 
 def _pipeline(spark, sf_dir):
     import corpus_pipeline
