@@ -3,24 +3,11 @@
 from __future__ import annotations
 
 import gc
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_OWN: dict[str, str] = {}
-
-
-def folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: `spark.checkpoint.dir`, or (unset, as in tests) one of our own."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _OWN:
-        _OWN[app] = "file://" + tempfile.mkdtemp(prefix="graphloom-")
-    return _OWN[app]
+from ..sources import shared
 
 
 def keep(frame: DataFrame, name: str) -> DataFrame:
@@ -31,12 +18,10 @@ def keep(frame: DataFrame, name: str) -> DataFrame:
     table is let go at once, so that Spark's cleaner can drop its shuffle files.
     """
     spark = frame.sparkSession
-    path = f"{folder(spark)}/graphloom/{name}-{uuid.uuid4().hex}"
-    schema = frame.schema
-    frame.write.parquet(path)
+    stored = shared.store(frame, name)
     del frame
     release(spark)
-    return spark.read.schema(schema).parquet(path)
+    return stored
 
 
 def release(spark: SparkSession) -> None:
