@@ -228,12 +228,16 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Model:
+    """Without trees (the sample lacks a class) the score is the fixed lexicon's: 1 - 0.8 ** (its words in the text)."""
+
     lexicon: Lexicon
-    trees: Trees
+    trees: Trees | None
     margins: np.ndarray
     chances: np.ndarray
 
     def score(self, text: Text) -> np.ndarray:
+        if self.trees is None:
+            return 1 - 0.8 ** text.per_row(_member(self.lexicon.fixed, text.words.hash), text.words.first).astype(np.float64)
         return np.clip(np.interp(self.trees.margin(features(text, self.lexicon)), self.margins, self.chances), 0, 1)
 
 
@@ -346,6 +350,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     held = tables.keep(rows.join(F.broadcast(tables.keep(chosen, "labels")), rows["doc_id"] == F.col("id")).select("fold", "toxic", "text"), "sample")
     count = {r.fold: r.t for r in held.groupBy("fold").agg(F.sum("toxic").alias("t")).collect()}
     fixed, second = hashes(ABUSE), hashes(SECOND)
+    if not 0 < sum(count.values()) < held.count():
+        return Model(Lexicon(fixed, second), None, np.zeros(0), np.zeros(0))
     halves = [Lexicon(fixed, second, _learn(held.filter(F.col("fold") == f), count.get(f, 0))) for f in (0, 1)]
     whole = Lexicon(fixed, second, _learn(held, sum(count.values())))
     got = held.mapInArrow(_features(halves), "fold int, toxic int, x array<double>").collect()  # at most `sample` rows (more if ids repeat)
@@ -380,7 +386,7 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame
     Null and empty texts get a score as texts without words.  A null doc_id is
     carried as null and not held out.  Labels with a null id or any value but 0
     and 1 are not used; of several for one id the larger counts.  Without usable
-    labels every score is 0.  Repeated rows score alike.  An empty table gives no
+    labels of both values the score is a fixed lexicon's.  Repeated rows score alike.  An empty table gives no
     rows.  Other columns are not read.
     """
     model = fit(docs, labels, sample)
