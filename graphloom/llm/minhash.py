@@ -4,7 +4,7 @@ A document's band key is a pair (a, b) of two keys from two small collections of
 `SIDE` keys each; a key stands for `ROWS` minhashes.  `SIDE * SIDE` tables of
 `2 * ROWS` minhashes come from `2 * SIDE * ROWS` minhash computations, about the
 square root of what independent tables take.  Two documents share a table key
-exactly if they share a key of either collection, so table keys are only formed
+exactly if they share a key of each collection, so a table key is only looked at
 where both halves occur again.
 
 At a similarity of 0.8 a pair is missed with a probability of about
@@ -14,9 +14,10 @@ the full shingle sets.
 Skew: documents with equal sets are one representative from the start.  In a
 bucket, members are first compared with one hub (the member whose keys are the
 most frequent, the likely centre of a family of copies), which joins a family of
-n copies by n comparisons.  Only buckets that still hold members of different
-components go on; there the number of hubs grows eightfold a round, until every
-pair of such members has been compared.  No candidate is dropped.
+n copies by n comparisons.  Only members that share a table key with another
+component go on, and of them only those with enough shingles in common with
+other components to be linked at all; these are compared block by block, so that
+only links leave a task, not pairs.  No candidate is dropped.
 """
 
 from __future__ import annotations
@@ -26,14 +27,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ordering import positions
 from . import components, tables
 from .textscan import SPACE_WORDS, Words, chunks, flat, grams, keys, mix, run_bounds, signed
 
 _U = np.uint64
 SIDE, ROWS = 20, 3
+#: Members in a block of the exact comparison, and shingles that are multiplied at a time.
+BLOCK, WIDE = 256, 8192
 _TURN = keys(31, 2 * SIDE * ROWS) | _U(1)
 _ADD = keys(32, 2 * SIDE * ROWS)
 
@@ -207,58 +211,109 @@ def _links(active: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         .select(F.col("sid").alias("u"), F.col("hub").alias("v"))
     )
     links = tables.keep(_verified(pairs, sets, percent), "links")
-    hubs, done = 8, 0
-    buckets = None
-    while True:
-        roots = components.components(links)
-        placed = active.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-        if buckets is None:
-            buckets = _open(placed)
-        else:
-            buckets = _still_open(buckets, placed.select("sid", "root"))
-        if buckets.isEmpty():
-            return links
-        ranked = buckets.withColumn("place", F.row_number().over(Window.partitionBy("table").orderBy(F.desc("weight"), "sid")))
-        ranked = tables.keep(ranked, "ranked")
-        left = ranked.filter((F.col("place") > done) & (F.col("place") <= hubs)).select("table", F.col("sid").alias("v"), F.col("n").alias("m"), F.col("root").alias("vroot"), F.col("place").alias("vplace"))
-        more = (
-            ranked.join(left, "table")
-            .filter((F.col("place") > F.col("vplace")) & (F.col("root") != F.col("vroot")) & _similar_size(percent))
-            .select(F.col("sid").alias("u"), "v")
-            .distinct()
-        )
-        links = tables.keep(links.unionByName(_verified(more, sets, percent)), "links")
-        buckets = ranked.drop("place", "root")
-        if ranked.groupBy("table").agg(F.max("place").alias("p")).filter(F.col("p") > hubs).isEmpty():
-            return links
-        hubs, done = hubs * 8, hubs
-
-
-def _open(placed: DataFrame) -> DataFrame:
-    """(table, sid, n, weight, root): members of the tables that hold different components."""
-    sides = []
+    # then whatever may still be linked across the components so far
+    roots = components.components(links)
+    placed = active.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    left = _undecided(placed, sets, percent)
+    if left.isEmpty():
+        return links
+    return links.unionByName(_blockwise(left, sets, percent))
+
+
+def _blockwise(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between different components of the undecided members, by exact comparison in blocks.
+
+    Members that share keys, directly or through others, are a cluster.  In the
+    order of cluster and component, they are cut into blocks of BLOCK rows; two
+    blocks that hold members of one cluster are compared by a matrix product of
+    their shingles, unless all those members are of one component already.  A
+    pair of blocks gives at most one link for each pair of components, so nothing
+    grows with the square of a cluster but the arithmetic.
+    """
+    each = left.select("sid", F.explode("a").alias("key"))
+    least = each.groupBy("key").agg(F.min("sid").alias("v"))
+    clusters = components.components(each.join(least, "key").select(F.col("sid").alias("u"), "v"))
+    named = left.select("sid", "root").join(clusters.select(F.col("node").alias("sid"), F.col("root").alias("cluster")), "sid", "left").withColumn("cluster", F.coalesce("cluster", "sid"))
+    at = tables.keep(positions(named, "at", "cluster", "root", "sid").withColumn("block", F.floor(F.col("at") / BLOCK)), "placed")
+    packed = tables.keep(at.join(sets, "sid").groupBy("block").agg(F.collect_list(F.struct("cluster", "root", "sid", "shingles")).alias("pack")), "blocks")
+    held = at.groupBy("cluster", "block").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    mate = held.select("cluster", F.col("block").alias("other"), F.col("low").alias("low2"), F.col("high").alias("high2"))
+    pairs = held.join(mate, "cluster").filter((F.col("block") <= F.col("other")) & (F.least("low", "low2") < F.greatest("high", "high2"))).select("block", "other").distinct()
+    second = packed.select(F.col("block").alias("other"), F.col("pack").alias("pack2"))
+    return pairs.join(packed, "block").join(second, "other").select("pack", "pack2").mapInArrow(_compare(percent), "u long, v long")
+
+
+def _compare(percent: int):
+    """mapInArrow: pairs of blocks -> a link for each pair of components that one of their pairs of members links."""
+
+    def run(batches):
+        for batch in batches:
+            found: list[np.ndarray] = []
+            for k in range(batch.num_rows):
+                sides = [batch.column(c)[k].values for c in ("pack", "pack2")]
+                cluster, root, sid = (np.concatenate([s.field(f).to_numpy(zero_copy_only=False) for s in sides]) for f in ("cluster", "root", "sid"))
+                parts = [np.frombuffer(x.as_buffer(), dtype=_U) for s in sides for x in s.field("shingles")]
+                n, m = len(parts), len(sides[0])
+                size = np.array([len(x) for x in parts], dtype=np.int64)
+                row = np.repeat(np.arange(n), size)
+                token, which, count = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
+                often = count > 1
+                number = np.cumsum(often) - 1
+                mine = often[which]
+                row, column = row[mine], number[which[mine]]
+                both = np.zeros((m, n - m), dtype=np.float32)
+                order = np.argsort(column, kind="stable")
+                row, column = row[order], column[order]
+                for begin in range(0, int(often.sum()), WIDE):
+                    a, b = np.searchsorted(column, [begin, begin + WIDE])
+                    held = np.zeros((n, WIDE), dtype=np.float32)
+                    held[row[a:b], column[a:b] - begin] = 1
+                    both += held[:m] @ held[m:].T
+                similar = 100 * both >= percent * (size[:m, None] + size[None, m:] - both)
+                similar &= (cluster[:m, None] == cluster[None, m:]) & (root[:m, None] != root[None, m:])
+                x, y = np.nonzero(similar)
+                if len(x):
+                    _, one = np.unique(np.stack([root[x], root[m + y]], axis=1), axis=0, return_index=True)
+                    found.append(np.stack([sid[x[one]], sid[m + y[one]]]))
+            u, v = np.concatenate(found, axis=1) if found else np.zeros((2, 0), dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+    return run
+
+
+def _mixed(placed: DataFrame) -> DataFrame:
+    """The rows with keys of both collections that members of another component have, too; a and b: those keys."""
+    out = placed.drop("a", "b")
     for side in ("a", "b"):
         each = placed.select("sid", "root", F.explode(side).alias("key"))
         mixed = each.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x < y").select("key")
-        sides.append(each.join(mixed, "key", "left_semi").groupBy("sid").agg(F.collect_list("key").alias(side)))
-    each = (
-        placed.select("sid", "n", "weight", "root")
-        .join(sides[0], "sid")
-        .join(sides[1], "sid")
-        .select("sid", "n", "weight", "root", "b", F.explode("a").alias("x"))
-        .select("sid", "n", "weight", "root", "x", F.explode("b").alias("y"))
-        .select(F.xxhash64("x", "y").alias("table"), "sid", "n", "weight", "root")
-    )
-    return tables.keep(_mixed(each), "tables")
+        out = out.join(each.join(mixed, "key", "left_semi").groupBy("sid").agg(F.collect_list("key").alias(side)), "sid")
+    return out
+
 
+def _tokens(batches):
+    """mapInArrow: (sid, root, shingles) -> one row per shingle."""
+    for batch in batches:
+        parts = [np.frombuffer(x.as_buffer(), dtype=_U) for x in batch.column("shingles")]
+        size = np.array([len(x) for x in parts], dtype=np.int64)
+        at = pa.array(np.repeat(np.arange(len(parts)), size))
+        token = np.concatenate(parts) if parts else np.zeros(0, dtype=_U)
+        yield pa.RecordBatch.from_arrays([batch.column("sid").take(at), batch.column("root").take(at), pa.array(signed(token))], names=["sid", "root", "token"])
 
-def _mixed(each: DataFrame) -> DataFrame:
-    mixed = each.groupBy("table").agg(F.min("root").alias("p"), F.max("root").alias("q")).filter("p < q").select("table")
-    return each.join(mixed, "table", "left_semi")
 
+def _undecided(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Members that a link to another component may still have; p: how many of their shingles occur in other components.
 
-def _still_open(buckets: DataFrame, roots: DataFrame) -> DataFrame:
-    return tables.keep(_mixed(buckets.join(roots, "sid")), "tables")
+    A link needs at least `percent` in 100 of the set in common with the other
+    one, so a member with fewer such shingles is settled, whatever its keys.
+    This is exact, and takes out the many copies that miss the threshold.
+    """
+    near = tables.keep(_mixed(placed), "near")
+    token = tables.keep(near.select("sid", "root").join(sets, "sid").select("sid", "root", "shingles").mapInArrow(_tokens, "sid long, root long, token long"), "tokens")
+    shared = token.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x < y").select("token")
+    count = token.join(shared, "token", "left_semi").groupBy("sid").agg(F.count("*").alias("p"))
+    live = tables.keep(near.join(count, "sid").filter(100 * F.col("p") >= percent * F.col("n")), "live")
+    return tables.keep(_mixed(live), "undecided")
 
 
 def op3(spark, sf_dir: str) -> DataFrame:
