@@ -29,7 +29,9 @@ from . import tables
 from .textscan import chunks, flat, hash_runs, rows_of
 
 #: Units whose ids a worker keeps (about 40 bytes each), and units encoded in one string.
-_CACHED, _JOINED = 1_000_000, 512
+_CACHED, _JOINED = 300_000, 512
+#: Bytes of text that are encoded at a time.
+_CHUNK = 1 << 20
 _ENCODERS: dict[str, Encoder] = {}
 
 _LETTER, _DIGIT, _MARK, _OTHER = 1, 2, 3, 4
@@ -200,7 +202,7 @@ def _cut(path: str, capacity: int, end: int):
         tail = np.array([end], dtype="<u4").tobytes()
         for batch in batches:
             data, offsets = flat(batch.column("text"))
-            for i, j, body, off in chunks(data, offsets):
+            for i, j, body, off in chunks(data, offsets, _CHUNK):
                 ids, bound = tool.encode(body, off)
                 raw = memoryview(np.ascontiguousarray(ids, dtype="<u4")).cast("B")
                 n = np.diff(bound) + 1
