@@ -8,6 +8,7 @@ vectors after every step.
 
 from __future__ import annotations
 
+import math
 from dataclasses import asdict, dataclass
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import bce, dot, log_sigmoid, scaled, sigmoid
-from ..sources import shared
+from ..sources import bundles, logs, shared
 from . import graph, metrics, sampling, scoring, walks
 
 
@@ -140,20 +141,52 @@ def evaluate_vectors(pairs: DataFrame, source: DataFrame, target: DataFrame | No
     return metrics.evaluate(shared.store(scored, "scored"))
 
 
-def train_bce(edges: DataFrame, config: BceConfig = BceConfig()) -> tuple[DataFrame, DataFrame, list[dict]]:
-    """(vectors, node index, history): one table, symmetric score, dense Adam with clipping and a cosine schedule.
+def validation_line(step: int, m: dict, means: bool = False) -> str:
+    show = lambda k: "N/A" if m.get(k) is None else f"{m[k]:.4f}"
+    line = f"  [VAL] Step {step} | AUC: {show('auc')} | AP: {show('ap')} | F1: {show('f1')} | Threshold: {show('threshold')}"
+    return line + f" | Pos/Neg mean: {show('pos_mean')}/{show('neg_mean')}" if means else line
+
+
+@dataclass(frozen=True)
+class Run:
+    """Where a training run leaves its checkpoints and its log, and how often it saves.
 
-    Training negatives exclude training edges only.
+    A run whose checkpoint exists goes on from there: after the saved step, or
+    with the epoch after the saved one.  A finished run trains nothing more.
     """
-    import math
 
+    checkpoint: str | None = None
+    save_every: int = 100
+    log: str | None = None
+    log_every: int = 1
+
+    def load(self, spark) -> dict | None:
+        return bundles.load_checkpoint(spark, self.checkpoint) if self.checkpoint else None
+
+    def save(self, step: int, index: DataFrame, states: dict[str, DataFrame], meta: dict) -> None:
+        if self.checkpoint:
+            bundles.save_checkpoint(self.checkpoint, step, index, states, meta)
+
+    def write(self, spark, lines: list[str]) -> None:
+        if self.log and lines:
+            logs.append_log(spark, self.log, lines)
+
+
+def train_bce(edges: DataFrame, config: BceConfig = BceConfig(), run: Run = Run()) -> tuple[DataFrame, DataFrame, list[dict]]:
+    """(vectors, node index, history): one table, symmetric score, dense Adam with clipping and a cosine schedule.
+
+    Training negatives exclude training edges only.  A checkpoint keeps the last
+    evaluation.
+    """
     spark = edges.sparkSession
     train, val, encoded, index, n = _prepared(edges, config.ratio, config.seed)
     pairs = validation_pairs(val, encoded, n, config.seed)
     size = min(config.batch, train.count())
-    state = shared.store(fresh_state(sampling.xavier_vectors(index, n, config.dim, config.seed)), "state")
+    saved = run.load(spark)
+    state = saved["state"] if saved else shared.store(fresh_state(sampling.xavier_vectors(index, n, config.dim, config.seed)), "state")
+    kept = saved["meta"].get("metrics", {}) if saved else {}
     history = []
-    for step in range(1, config.steps + 1):
+    for step in range(saved["step"] + 1 if saved else 1, config.steps + 1):
         positive = sampling.minibatch(train, size, step, config.seed).select("src", "dst", F.lit(1).alias("label"))
         negative = sampling.negatives(spark, train, n, size, config.seed * 1000 + step).select("src", "dst", F.lit(0).alias("label"))
         batch = shared.store(positive.unionByName(negative), "batch")
@@ -164,23 +197,41 @@ def train_bce(edges: DataFrame, config: BceConfig = BceConfig()) -> tuple[DataFr
         rate = 1e-5 + (config.rate - 1e-5) * (1 + math.cos(math.pi * (step - 1) / config.steps)) / 2
         grad = clipped(shared.store(bce_gradient(batch, vectors), "gradient"))
         state = shared.store(adam(state, grad, step, rate), "state")
-        row = {"step": step, "loss": loss}
+        row, lines = {"step": step, "loss": loss}, []
+        if step % run.log_every == 0:
+            after = 1e-5 + (config.rate - 1e-5) * (1 + math.cos(math.pi * step / config.steps)) / 2
+            lines.append(f"Step {step}/{config.steps} | Loss: {loss:.4f} | LR: {after:.6f}")
         if step % config.validate_every == 0 or step == config.steps:
-            row |= evaluate_vectors(pairs, state.select("idx", "vec")).first().asDict()
+            kept = evaluate_vectors(pairs, state.select("idx", "vec")).first().asDict()
+            row |= kept
+            lines.append(validation_line(step, kept))
+        run.write(spark, lines)
+        if step % run.save_every == 0 or step == config.steps:
+            run.save(step, index, {"state": state}, {"config": asdict(config), "metrics": kept})
         history.append(row)
     return state.select("idx", "vec"), index, history
 
 
-def train_walks(edges: DataFrame, config: WalkConfig = WalkConfig()) -> tuple[DataFrame, DataFrame, DataFrame, list[dict]]:
+def train_walks(edges: DataFrame, config: WalkConfig = WalkConfig(), run: Run = Run()) -> tuple[DataFrame, DataFrame, DataFrame, list[dict]]:
     """(source vectors, target vectors, node index, history): walks on the bidirectional training graph, skip-gram with
-    uniform negatives, sparse Adam per batch of start nodes, directional score."""
+    uniform negatives, sparse Adam per batch of start nodes, directional score.
+
+    A checkpoint, written after every epoch, keeps the evaluation of the highest
+    F1, the latest of equals, with the step it belongs to.
+    """
+    spark = edges.sparkSession
     train, val, encoded, index, n = _prepared(edges, config.ratio, config.seed)
     pairs = validation_pairs(val, encoded, n, config.seed)
     neighbours = shared.store(graph.neighbour_table(graph.both_ways(train)), "neighbours")
-    into = shared.store(fresh_state(sampling.uniform_vectors(index, config.dim, config.seed)), "state")
-    out = shared.store(fresh_state(sampling.uniform_vectors(index, config.dim, config.seed + 1)), "state")
-    history, step = [], 0
-    for epoch in range(config.epochs):
+    saved = run.load(spark)
+    if saved:
+        into, out = saved["source"], saved["target"]
+    else:
+        into = shared.store(fresh_state(sampling.uniform_vectors(index, config.dim, config.seed)), "state")
+        out = shared.store(fresh_state(sampling.uniform_vectors(index, config.dim, config.seed + 1)), "state")
+    step, best = (saved["step"], saved["meta"].get("metrics", {})) if saved else (0, {})
+    history = []
+    for epoch in range(saved["meta"]["epoch"] if saved else 0, config.epochs):
         batches = shared.store(sampling.node_batches(index.select("idx"), config.batch_nodes, epoch, config.seed), "batches")
         for b in range(-(-n // config.batch_nodes)):
             starts = batches.filter(F.col("batch") == b).select(F.col("idx").alias("node"))
@@ -196,5 +247,12 @@ def train_walks(edges: DataFrame, config: WalkConfig = WalkConfig()) -> tuple[Da
             grad_in, grad_out = skipgram_gradient(positive, negative, a, c)
             into, out = shared.store(adam(into, grad_in, step, config.rate, sparse=True), "state"), shared.store(adam(out, grad_out, step, config.rate, sparse=True), "state")
             history.append({"epoch": epoch + 1, "step": step, "loss": loss})
-        history.append({"epoch": epoch + 1, "step": step} | evaluate_vectors(pairs, into.select("idx", "vec"), out.select("idx", "vec")).first().asDict())
+            if step % run.log_every == 0:
+                run.write(spark, [f"Epoch {epoch + 1}/{config.epochs} | Step {step} | Loss: {loss:.4f} | Pairs: {positive.count()}"])
+        found = evaluate_vectors(pairs, into.select("idx", "vec"), out.select("idx", "vec")).first().asDict() | {"step": step, "epoch": epoch + 1}
+        if not best or (found["f1"] or 0) >= (best.get("f1") or 0):
+            best = found
+        run.write(spark, [validation_line(step, found, means=True)])
+        run.save(step, index, {"source": into, "target": out}, {"config": config.record(), "metrics": best, "epoch": epoch + 1})
+        history.append(found)
     return into.select("idx", "vec"), out.select("idx", "vec"), index, history

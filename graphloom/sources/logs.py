@@ -50,6 +50,12 @@ def rolling_loss(rows: DataFrame, window: int = 5) -> DataFrame:
     return at.join(mean, "at_").withColumn("trend", F.when(F.col("n_") == window, F.col("mean_"))).drop("at_", "n_", "mean_")
 
 
+def plot_frames(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """What a training plot shows: losses with their trend, and evaluations; drawing is left to the caller."""
+    lines = read_log(spark, path)
+    return rolling_loss(training_rows(lines)), validation_rows(lines)
+
+
 def epoch_means(losses: DataFrame) -> DataFrame:
     """(epoch, mean_loss) of (epoch, loss)."""
     return losses.groupBy("epoch").agg(F.avg("loss").alias("mean_loss"))

@@ -162,3 +162,31 @@ def test_keep_policies(spark):
 def test_formatting(spark):
     df = frame(spark, [(1234.5,), (None,), (float("nan"),)], "x double")
     assert [r[0] for r in df.select(scalar.number_or_na(F.col("x"))).collect()] == ["1,234.5000", "N/A", "N/A"]
+
+
+def test_resume_and_export(spark, tmp_path):
+    from graphloom.plans import export
+    from graphloom.sources import bundles, logs
+
+    edges = community(spark, 12)
+    at = training.Run(f"{tmp_path}/c", save_every=1, log=f"{tmp_path}/log")
+    config = {"dim": 3, "length": 4, "window": 2, "walks": 1, "negatives": 1, "batch_nodes": 12, "ratio": 0.1}
+    training.train_walks(edges, training.WalkConfig(epochs=1, **config), at)
+    source, _, _, history = training.train_walks(edges, training.WalkConfig(epochs=2, **config), at)
+    assert {h["epoch"] for h in history} == {2}
+    again, _, _, none = training.train_walks(edges, training.WalkConfig(epochs=2, **config), at)
+    assert not none and sorted(map(tuple, again.collect())) == sorted(map(tuple, source.collect()))
+    losses, evaluations = logs.plot_frames(spark, f"{tmp_path}/log")
+    assert losses.count() == 2 and evaluations.count() == 2
+    export.main(["--checkpoint", f"{tmp_path}/c", "--output", f"{tmp_path}/b"])
+    table, threshold, meta = bundles.read_bundle(spark, f"{tmp_path}/b")
+    assert table.count() == 12 and meta["dim"] == 3 and threshold == meta["metrics"]["threshold"]
+
+
+def test_resume_single_table(spark, tmp_path):
+    edges = community(spark, 12)
+    at = training.Run(f"{tmp_path}/c", save_every=1, log=f"{tmp_path}/log")
+    config = {"dim": 3, "batch": 16, "ratio": 0.1, "validate_every": 2}
+    training.train_bce(edges, training.BceConfig(steps=1, **config), at)
+    _, _, history = training.train_bce(edges, training.BceConfig(steps=2, **config), at)
+    assert [h["step"] for h in history] == [2] and "auc" in history[0]
