@@ -183,8 +183,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 def _again(reps: DataFrame, side: str) -> DataFrame:
     """(sid, keys of this collection that another representative has too, how often they occur in all)."""
     each = reps.select("sid", F.explode(side).alias("key"))
-    twice = each.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1")
-    return each.join(twice, "key").groupBy("sid").agg(F.collect_list("key").alias(side), F.sum("c").alias(f"c{side}"))
+    # stored, so that the join has a shuffle on either side, which can be split at a key of very many documents
+    twice = tables.keep(each.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1"), "shared-keys")
+    return each.join(twice.hint("shuffle_hash"), "key").groupBy("sid").agg(F.collect_list("key").alias(side), F.sum("c").alias(f"c{side}"))
 
 
 def _active(reps: DataFrame) -> DataFrame:
@@ -286,8 +287,9 @@ def _mixed(placed: DataFrame) -> DataFrame:
     out = placed.drop("a", "b")
     for side in ("a", "b"):
         each = placed.select("sid", "root", F.explode(side).alias("key"))
-        mixed = each.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x < y").select("key")
-        out = out.join(each.join(mixed, "key", "left_semi").groupBy("sid").agg(F.collect_list("key").alias(side)), "sid")
+        # stored for the same reason as in `_again`
+        mixed = tables.keep(each.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x < y").select("key"), "mixed-keys")
+        out = out.join(each.join(mixed.hint("shuffle_hash"), "key", "left_semi").groupBy("sid").agg(F.collect_list("key").alias(side)), "sid")
     return out
 
 
