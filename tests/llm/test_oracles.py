@@ -32,4 +32,4 @@ def test_query(spark, sql, name):
 
 @pytest.mark.parametrize("name,table", [("op1_toxicity", "documents"), ("op4_lm_scoring", "documents"), ("op10_html_extraction", "pages")])
 def test_rows(spark, sql, name, table):
-    assert QUERIES[name](spark, str(SF)).count() == sql.sql(f"SELECT count(*) FROM {table}").fetchone()[0]
+    assert QUERIES[name](spark, str(SF)).count() == sql.sql(f"SELECT count(*) FROM {table}").fetchall()[0][0]
