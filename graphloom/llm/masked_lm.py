@@ -3,8 +3,11 @@
 A bidirectional window network predicts every word from the words on both its
 sides; the sum of a document's conditional log-probabilities is its score.
 
-* The vocabulary and its counts come from all documents: the `KNOWN` most
-  frequent words have ids in order of frequency, all others share `OTHER` ids.
+* The vocabulary is every word of all documents, with its count.  The `KNOWN`
+  most frequent words have ids in order of frequency; the others are dealt by
+  hash to `OTHER` classes, which have an id each, and a word's probability is
+  its class's times its count's share of the class.  The counts of all words are
+  a table that grows with the corpus and is joined by hash, never held.
 * An id has three base-16 digits, and its probability is the product of three
   softmaxes over 16 digits, each given the digits before it.  The digits'
   biases are the corpus's own log-frequencies, so the network starts as the
@@ -65,18 +68,26 @@ def unpack(flat_weights: np.ndarray) -> Weights:
 
 
 class Vocabulary:
-    """Words by hash, in order of frequency, and the digits' log-frequencies."""
+    """The known words by hash, in order of frequency, and the digits' log-frequencies.
 
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray, rest: int):
+    `rest` counts the other words, as one number or by class.  `table` (hash, c)
+    has the counts of all words; it stays with the driver.
+    """
+
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray, rest: int | np.ndarray, table: DataFrame | None = None):
         order = np.argsort(hashes)
         self.sorted, self.number = hashes[order], order.astype(np.int64)
         full = np.full(SIZE, 0.5)
         full[: len(counts)] += counts
-        full[KNOWN:] += rest / OTHER
+        full[KNOWN:] += rest if np.ndim(rest) else rest / OTHER
+        self.classes, self.table = full[KNOWN:].copy(), table
         cube = full.reshape(DIGIT, DIGIT, DIGIT)
         norm = lambda x: np.log(x / x.sum(axis=-1, keepdims=True)).astype(np.float32)
         self.bias1, self.bias2, self.bias3 = norm(cube.sum(axis=(1, 2))), norm(cube.sum(axis=2)), norm(cube).reshape(-1, DIGIT)
 
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "table": None}
+
     def ids(self, hashes: np.ndarray) -> np.ndarray:
         other = KNOWN + (hashes % _U(OTHER)).astype(np.int64)
         if not len(self.sorted):
@@ -211,11 +222,13 @@ def count_words(docs: DataFrame) -> Vocabulary:
     """The vocabulary, from all words of all documents."""
     counts = tables.keep(tables.texts(docs).select("text").mapInArrow(_count(), "hash long, c long").groupBy("hash").agg(F.sum("c").alias("c")), "counts")
     top = counts.orderBy(F.desc("c"), "hash").limit(KNOWN).collect()  # at most KNOWN rows
-    total = counts.agg(F.sum("c")).first()[0] or 0
-    tables.drop(counts)
+    sums = counts.groupBy(F.col("hash").bitwiseAND(OTHER - 1).alias("k")).agg(F.sum("c").alias("c")).collect()  # at most OTHER rows
     hashes = np.array([r.hash for r in top], dtype=np.int64).view(_U)
     number = np.array([r.c for r in top], dtype=np.float64)
-    return Vocabulary(hashes, number, int(total - number.sum()))
+    rest = np.zeros(OTHER)
+    rest[[r.k for r in sums]] = [r.c for r in sums]
+    np.subtract.at(rest, (hashes % _U(OTHER)).astype(np.int64), number)
+    return Vocabulary(hashes, number, rest, counts)
 
 
 def _words(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary):
@@ -224,7 +237,7 @@ def _words(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary):
         for i, j, part, off in chunks(data, offsets):
             w = Words(part, off, PLAIN_WORDS)
             ids = vocabulary.ids(w.hash)
-            yield batch, i, j, w.first, ids
+            yield batch, i, j, w, ids
 
 
 def _train(vocabulary: Vocabulary, weights: Weights):
@@ -232,9 +245,9 @@ def _train(vocabulary: Vocabulary, weights: Weights):
 
     def run(batches):
         trainer = Trainer(vocabulary, weights)
-        for _, _, _, first, ids in _words(batches, vocabulary):
+        for _, _, _, w, ids in _words(batches, vocabulary):
             if len(ids):
-                trainer.learn(contexts(ids, first), ids)
+                trainer.learn(contexts(ids, w.first), ids)
         if trainer.words:
             yield _sum_row(trainer.words, pack(trainer.network.w).astype(np.float64) * trainer.words)
 
@@ -273,21 +286,37 @@ def train(docs: DataFrame, vocabulary: Vocabulary, weights: Weights | None = Non
     return unpack(np.frombuffer(bytes(last[0].weights), dtype=np.float64) / last[0].words) if last else weights
 
 
-SCORED = "doc_id long, n_tokens long, log_likelihood double, mean_log_likelihood double"
+SCORED = "doc_id long, n_tokens long, own double, rare array<struct<hash: long, n: long>>"
+#: The count that words outside the vocabulary have together in a class.
+UNSEEN = 0.5
+
+
+def _rare(w: Words, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows' bounds, hash, occurrences) of each row's distinct words that share an id."""
+    at = np.flatnonzero(ids >= KNOWN)
+    row, h = np.searchsorted(w.first, at, "right") - 1, w.hash[at]
+    order = np.lexsort((h, row))
+    row, h = row[order], h[order]
+    begin = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (h[1:] != h[:-1]))[: len(h)])
+    return np.searchsorted(row[begin], np.arange(len(w.first))), h[begin], np.diff(np.append(begin, len(h)))
 
 
 def _score(vocabulary: Vocabulary, weights: Weights):
+    """mapInArrow: texts -> SCORED; `own` takes each word of a class for one outside the vocabulary."""
+    share = np.zeros(SIZE)
+    share[KNOWN:] = np.log(UNSEEN / vocabulary.classes)
+
     def run(batches):
         network = Network(vocabulary, weights)
-        for batch, i, j, first, ids in _words(batches, vocabulary):
-            total = np.zeros(len(ids) + 1)
+        for batch, i, j, w, ids in _words(batches, vocabulary):
+            first, total = w.first, np.zeros(len(ids) + 1)
             if len(ids):
-                np.cumsum(network.log_likelihood(contexts(ids, first), ids), out=total[1:])
-            n = np.diff(first)
-            own = np.round(total[first[1:]] - total[first[:-1]], 6)
+                np.cumsum(network.log_likelihood(contexts(ids, first), ids) + share[ids], out=total[1:])
+            bound, h, n = _rare(w, ids)
+            words = pa.StructArray.from_arrays([pa.array(signed(h)), pa.array(n)], ["hash", "n"])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").slice(i, j - i), pa.array(n), pa.array(own), pa.array(np.round(own / np.maximum(n, 1), 6), mask=n == 0)],
-                names=["doc_id", "n_tokens", "log_likelihood", "mean_log_likelihood"],
+                [batch.column("doc_id").slice(i, j - i), pa.array(np.diff(first)), pa.array(total[first[1:]] - total[first[:-1]]), pa.ListArray.from_arrays(pa.array(bound, pa.int32()), words)],
+                names=["doc_id", "n_tokens", "own", "rare"],
             )
 
     return run
@@ -299,8 +328,20 @@ def score(docs: DataFrame, vocabulary: Vocabulary, weights: Weights) -> DataFram
     Null, empty and wordless texts have no tokens, a sum of 0 and a null mean.  A
     null doc_id is carried as null; repeated rows score alike.  An empty table
     gives no rows.  Columns beside doc_id and text are not read.
+
+    Words outside the vocabulary count as one word, seen `UNSEEN` times in each class.
     """
-    return tables.texts(docs).select("doc_id", "text").mapInArrow(_score(vocabulary, weights), SCORED)
+    scored = tables.texts(docs).select("doc_id", "text").mapInArrow(_score(vocabulary, weights), SCORED)
+    log_likelihood = F.col("own")
+    if vocabulary.table is not None:
+        scored = tables.keep(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
+        words = scored.select("row", F.inline("rare")).join(vocabulary.table, "hash")
+        shares = words.groupBy("row").agg(F.sum(F.col("n") * F.log(F.col("c") / UNSEEN)).alias("shares"))
+        scored = scored.join(shares, "row", "left")
+        log_likelihood += F.coalesce("shares", F.lit(0.0))
+    scored = scored.select("doc_id", "n_tokens", F.round(log_likelihood, 6).alias("log_likelihood"))
+    mean = F.when(F.col("n_tokens") > 0, F.round(F.col("log_likelihood") / F.col("n_tokens"), 6))
+    return scored.withColumn("mean_log_likelihood", mean)
 
 
 def pseudo_likelihood(docs: DataFrame) -> DataFrame:

@@ -96,3 +96,22 @@ def test_odd_rows(spark):
     assert by[1] == by[2] == by[3] == [(0, 0.0, None)]
     assert by[4][0] == by[4][1] == by[None][0] and by[5][0][0] == 20_000
     assert m.pseudo_likelihood(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_words_that_share_an_id_are_told_apart(spark):
+    data, offsets = flat(pa.array([" ".join(f"r{i}" for i in range(1000))]))
+    alike = np.flatnonzero(Words(data, offsets, PLAIN_WORDS).hash % np.uint64(m.OTHER) == 0)
+    once, twice, three, never = (f"r{i}" for i in alike[:4])
+    top = " ".join(f"k{i} " * 4 for i in range(m.KNOWN))
+    rows = [(1, top), (2, f"{twice} {twice} {once}"), (3, f"{three} " * 3)]
+    vocab = m.count_words(spark.createDataFrame(rows, "doc_id long, text string"))
+    zero = {k: np.zeros_like(x) for k, x in m.start().items()}
+    mixed = f"{twice} k7 {twice}"
+    ask = [(1, once), (2, twice), (3, three), (4, never), (5, "k7"), (6, mixed), (6, mixed), (None, never)]
+    got = {}
+    for r in m.score(spark.createDataFrame(ask, "doc_id long, text string"), vocab, zero).collect():
+        got.setdefault(r.doc_id, []).append(r.log_likelihood)
+    total = 4 * m.KNOWN + 6 + 0.5 * m.SIZE
+    for i, c in {1: 1, 2: 2, 3: 3, 4: 0.5, None: 0.5, 5: 4.5}.items():
+        assert len(got[i]) == 1 and abs(got[i][0] - np.log(c / total)) < 1e-3
+    assert len(got[6]) == 2 and got[6][0] == got[6][1] and abs(got[6][0] - 2 * got[2][0] - got[5][0]) < 1e-3
