@@ -55,8 +55,12 @@ IMPLIED = {
 }
 IMPLIED["thead"] = IMPLIED["tfoot"] = IMPLIED["tbody"]
 
-TAG = re.compile(r"<(?:!--(?P<note>.*?)(?:--!?>|\Z)|(?P<end>/?)(?P<name>[A-Za-z][^\s/>]*+)(?P<rest>(?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>|(?P<odd>[!?/][^>]*+(?:>|\Z)))", re.S)
-ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
+# Quotes delimit a value only right after "="; elsewhere in a tag they are characters like others.
+VALUE = r"[ \t\n\r\f]*+=[ \t\n\r\f]*+(?:\"([^\"]*+)\"|'([^']*+)'|((?![\"'])[^ \t\n\r\f>]*+))"
+NAME = r"[^ \t\n\r\f/>][^ \t\n\r\f/>=]*+"
+REST = rf"(?:[ \t\n\r\f/]++|{NAME}(?:{VALUE}|(?![ \t\n\r\f]*+=)))*+".replace("([^", "(?:[^").replace("((?!", "(?:(?!")
+TAG = re.compile(rf"<(?:!--(?P<note>.*?)(?:--!?>|\Z)|(?P<end>/?)(?P<name>[A-Za-z][^\s/>]*+)(?P<rest>{REST})>|(?P<odd>[!?/][^>]*+(?:>|\Z)))", re.S)
+ATTRIBUTE = re.compile(rf"({NAME})(?:{VALUE})?")
 SPACE = re.compile(r"[ \t\n\r\f]+")
 STARTS = re.compile(r"[A-Za-z]")
 RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")

@@ -75,6 +75,17 @@ def test_broken_pages():
     assert len(render("<" * 200_000)) == 200_000
 
 
+def test_stray_quotes_in_tags():
+    assert render("<td title=Bob's>hello</td><p>rest of page</p>") == "hello\n\nrest of page"
+    assert render('<p class=x">a</p> text <a href="u">b</a>') == "a\n\ntext b"
+    assert render("<i title=Bob's>a</i> b <i title=Ann's>c</i>") == "a b c"
+    assert render('<p "x>a</p><i x"y=1>b</i><i =">c</i><i a=>d</i><i b="x>y"c=\'>\'>e') == "a\n\nbcde"
+    assert page_text.Node("a", " href=/x/ title=Bob's  k = 'v w' hidden").attributes == {"href": "/x/", "title": "Bob's", "k": "v w", "hidden": ""}
+    assert render('<i style=display:none;x:" a">no</i>yes') == "yes"
+    assert render("a<p title='never closed>b") == "a"
+    assert len(render("<b a=' " * 50_000)) == 0
+
+
 def test_words_against_plain_reader():
     r = random.Random(8)
     inline, block = ["b", "i", "span", "a", "em"], ["div", "p", "section", "ul", "blockquote", "article", "h2"]
