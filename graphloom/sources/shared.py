@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes that a task holds back before it writes them.
+ROW_GROUP = 32 << 20
 _OWN: dict[str, str] = {}
 
 
 def folder(spark: SparkSession) -> str:
-    """`spark.checkpoint.dir` of the session; where it is unset (tests, local mode) a folder of our own."""
+    """`spark.checkpoint.dir` of the session; where it is unset, a folder of our own in local mode, an error on a cluster."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = "file://" + tempfile.mkdtemp(prefix="graphloom-")
@@ -30,5 +35,5 @@ def store(frame: DataFrame, name: str) -> DataFrame:
     """Write `frame` and return it as read back, so that what follows neither repeats nor depends on its lineage."""
     path = fresh(frame.sparkSession, name)
     schema = frame.schema
-    frame.write.parquet(path)
+    frame.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     return frame.sparkSession.read.schema(schema).parquet(path)
