@@ -220,7 +220,7 @@ def _count():
 
 def count_words(docs: DataFrame) -> Vocabulary:
     """The vocabulary, from all words of all documents."""
-    counts = tables.keep(tables.texts(docs).select("text").mapInArrow(_count(), "hash long, c long").groupBy("hash").agg(F.sum("c").alias("c")), "counts")
+    counts = tables.keep(tables.texts(docs).select("text").transform(tables.mapped, _count(), "hash long, c long").groupBy("hash").agg(F.sum("c").alias("c")), "counts")
     top = counts.orderBy(F.desc("c"), "hash").limit(KNOWN).collect()  # at most KNOWN rows
     sums = counts.groupBy(F.col("hash").bitwiseAND(OTHER - 1).alias("k")).agg(F.sum("c").alias("c")).collect()  # at most OTHER rows
     hashes = np.array([r.hash for r in top], dtype=np.int64).view(_U)
@@ -272,12 +272,12 @@ def train(docs: DataFrame, vocabulary: Vocabulary, weights: Weights | None = Non
     """One pass over all words: local training in every partition, then a tree of sums of at most SUMMED models a task."""
     weights = weights or start()
     rows = tables.texts(docs).select("text")
-    sums = tables.keep(rows.mapInArrow(_train(vocabulary, weights), "words long, weights binary"), "weights")
+    sums = tables.keep(rows.transform(tables.mapped, _train(vocabulary, weights), "words long, weights binary"), "weights")
     n = sums.count()
     while n > 1:
         parts = -(-n // SUMMED)
         shared = sums.repartition(parts) if n > SUMMED else sums.coalesce(1)
-        above = tables.keep(shared.mapInArrow(_add, "words long, weights binary"), "weights")
+        above = tables.keep(shared.transform(tables.mapped, _add, "words long, weights binary"), "weights")
         tables.drop(sums)
         sums, before, n = above, n, above.count()
         if n >= before:
@@ -331,7 +331,7 @@ def score(docs: DataFrame, vocabulary: Vocabulary, weights: Weights) -> DataFram
 
     Words outside the vocabulary count as one word, seen `UNSEEN` times in each class.
     """
-    scored = tables.texts(docs).select("doc_id", "text").mapInArrow(_score(vocabulary, weights), SCORED)
+    scored = tables.texts(docs).select("doc_id", "text").transform(tables.mapped, _score(vocabulary, weights), SCORED)
     log_likelihood = F.col("own")
     if vocabulary.table is not None:
         scored = tables.keep(scored.withColumn("row", F.monotonically_increasing_id()), "scored")

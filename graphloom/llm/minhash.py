@@ -159,7 +159,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     gives no rows.  Columns beside doc_id and text are not read.
     """
     rows = tables.texts(docs)
-    sigs = tables.keep(rows.mapInArrow(_sign(words), SIGNED), "signatures")
+    sigs = tables.keep(rows.transform(tables.mapped, _sign(words), SIGNED), "signatures")
     reps = tables.keep(
         sigs.filter("sid IS NOT NULL")
         .groupBy("sid")
@@ -169,7 +169,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     active = tables.keep(_active(reps), "active")
     wanted = reps.select("sid", "rk").join(active.select("sid"), "sid")
     # a repeated row makes its set twice, and so a link twice, which changes no component
-    sets = tables.keep(rows.select("rk", "text").join(wanted, "rk").select("sid", "text").mapInArrow(_sets(words), "sid long, shingles binary"), "sets")
+    sets = tables.keep(rows.select("rk", "text").join(wanted, "rk").select("sid", "text").transform(tables.mapped, _sets(words), "sid long, shingles binary"), "sets")
     links = _links(active, sets, percent)
     roots = components.components(links)
     named = reps.select("sid", "low").join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
@@ -196,7 +196,7 @@ def _active(reps: DataFrame) -> DataFrame:
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     left = sets.select(F.col("sid").alias("u"), F.col("shingles").alias("su"))
     right = sets.select(F.col("sid").alias("v"), F.col("shingles").alias("sv"))
-    return pairs.join(left, "u").join(right, "v").select("u", "v", "su", "sv").mapInArrow(_confirm(percent), "u long, v long")
+    return pairs.join(left, "u").join(right, "v").select("u", "v", "su", "sv").transform(tables.mapped, _confirm(percent), "u long, v long")
 
 
 def _links(active: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -241,7 +241,7 @@ def _blockwise(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     mate = held.select("cluster", F.col("block").alias("other"), F.col("low").alias("low2"), F.col("high").alias("high2"))
     pairs = held.join(mate, "cluster").filter((F.col("block") <= F.col("other")) & (F.least("low", "low2") < F.greatest("high", "high2"))).select("block", "other").distinct()
     second = packed.select(F.col("block").alias("other"), F.col("pack").alias("pack2"))
-    return pairs.join(packed, "block").join(second, "other").select("pack", "pack2").mapInArrow(_compare(percent), "u long, v long")
+    return pairs.join(packed, "block").join(second, "other").select("pack", "pack2").transform(tables.mapped, _compare(percent), "u long, v long")
 
 
 def _compare(percent: int):
@@ -311,7 +311,7 @@ def _undecided(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     This is exact, and takes out the many copies that miss the threshold.
     """
     near = tables.keep(_mixed(placed), "near")
-    token = tables.keep(near.select("sid", "root").join(sets, "sid").select("sid", "root", "shingles").mapInArrow(_tokens, "sid long, root long, token long"), "tokens")
+    token = tables.keep(near.select("sid", "root").join(sets, "sid").select("sid", "root", "shingles").transform(tables.mapped, _tokens, "sid long, root long, token long"), "tokens")
     shared = token.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x < y").select("token")
     count = token.join(shared, "token", "left_semi").groupBy("sid").agg(F.count("*").alias("p"))
     live = tables.keep(near.join(count, "sid").filter(100 * F.col("p") >= percent * F.col("n")), "live")

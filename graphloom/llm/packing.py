@@ -330,7 +330,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end: int = 2) ->
     beside doc_id and text are not read.
     """
     rows = tables.texts(docs).select("doc_id", "text")
-    pieces = tables.keep(rows.mapInArrow(_cut(tokenizer, capacity, end), PIECES), "pieces")
+    pieces = tables.keep(rows.transform(tables.mapped, _cut(tokenizer, capacity, end), PIECES), "pieces")
     counts = pieces.groupBy("length", "part").agg(F.count("*").alias("c"))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     counts = tables.keep(counts.withColumn("before", F.coalesce(F.sum("c").over(before), F.lit(0).cast("long"))), "counts")
@@ -338,7 +338,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end: int = 2) ->
     histogram = {r.length: r.c for r in counts.groupBy("length").agg(F.sum("c").alias("c")).collect()}
     table = plan(histogram, capacity)
     ranked = pieces.join(counts.select("length", "part", "before").hint("shuffle_hash"), ["length", "part"]).withColumn("rank", F.col("before") + F.col("k"))
-    return ranked.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "rank").mapInArrow(_place(table), PACKED)
+    return ranked.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "rank").transform(tables.mapped, _place(table), PACKED)
 
 
 def op8(spark, sf_dir: str) -> DataFrame:

@@ -496,7 +496,7 @@ def extract(pages: DataFrame) -> DataFrame:
     are not read.
     """
     rows = pages.select(pages["page_id"].cast("long").alias("page_id"), pages["url"].cast("string").alias("url"), pages["html"].cast("string").alias("html"))
-    return rows.mapInArrow(_apply, RESULT)
+    return rows.transform(tables.mapped, _apply, RESULT)
 
 
 def op10(spark, sf_dir: str) -> DataFrame:

@@ -197,11 +197,11 @@ def top_k(table: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
     pivots = {}
     for dim in {len(r.x) for r in sample}:
         pivots[dim] = choose(np.array([r.x for r in sample if len(r.x) == dim], dtype=np.float64), PIVOTS)
-    stored = tables.keep(x.mapInArrow(_store(pivots), STORED), "pivots")
+    stored = tables.keep(x.transform(tables.mapped, _store(pivots), STORED), "pivots")
     asked = stored.filter(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"])
     found = None
     for block in _blocks(asked):
-        part = stored.mapInArrow(_answer(block, k), FOUND)
+        part = stored.transform(tables.mapped, _answer(block, k), FOUND)
         found = part if found is None else found.unionByName(part)
     if found is None:
         found = spark.createDataFrame([], FOUND)

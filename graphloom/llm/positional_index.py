@@ -202,7 +202,7 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
 
 def build_index(docs: DataFrame, vocabulary: np.ndarray | None = None) -> DataFrame:
     """Store the positional index of `docs` in the shared folder: every term, or those of a sorted array of term hashes."""
-    return tables.keep(tables.texts(docs).mapInArrow(_build(vocabulary), INDEX), "index")
+    return tables.keep(tables.texts(docs).transform(tables.mapped, _build(vocabulary), INDEX), "index")
 
 
 def term_hashes(words: list[str]) -> np.ndarray:
@@ -234,7 +234,7 @@ def proximity(index: DataFrame, words: list[str], within: int) -> DataFrame:
                     [ids.take(pa.array(rows)), pa.array([start[row == r] - shard.first[r] for r in rows.tolist()], pa.list_(pa.int64()))], names=["doc_id", "places"]
                 )
 
-    return index.mapInArrow(run, "doc_id long, places array<long>")
+    return index.transform(tables.mapped, run, "doc_id long, places array<long>")
 
 
 def find_phrases(docs: DataFrame, benchmark: DataFrame, length: int = 13) -> DataFrame:
@@ -242,7 +242,7 @@ def find_phrases(docs: DataFrame, benchmark: DataFrame, length: int = 13) -> Dat
     parts = []
     for block in _blocks(benchmark):
         tests = phrases(block, length)
-        parts.append(build_index(docs, tests.vocabulary).mapInArrow(_search(tests), FOUND))
+        parts.append(build_index(docs, tests.vocabulary).transform(tables.mapped, _search(tests), FOUND))
     if len(parts) == 1:
         return parts[0]
     # every block has each row: one block gives the rows, all blocks' hits come together by row

@@ -268,11 +268,11 @@ def _resolve(units: Units, classes: DataFrame, verdict, step: int, scratch: _Scr
     spark = classes.sparkSession
     few = classes.filter(F.col("rivals") <= units.most)
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    out = few.repartition(parts, "anchor").sortWithinPartitions("anchor").mapInArrow(shards(units, verdict), MARK)
+    out = few.repartition(parts, "anchor").sortWithinPartitions("anchor").transform(tables.mapped, shards(units, verdict), MARK)
     many = classes.filter(F.col("rivals") > units.most)
     if step >= len(units.cells) or many.isEmpty():
         return out
-    split_up = scratch.keep(many.mapInArrow(pieces(units, units.cells[step]), PIECE), "pieces")
+    split_up = scratch.keep(many.transform(tables.mapped, pieces(units, units.cells[step]), PIECE), "pieces")
     distinct = scratch.keep(
         split_up.groupBy("anchor", "seg").agg(
             F.sum("n").alias("n"), F.min("low").alias("low"), F.min("nw").alias("nw"), F.min("at").alias("at"), F.min("body").alias("body")
@@ -313,7 +313,7 @@ def repeated(docs: DataFrame, units: Units, verdict, older: bool) -> DataFrame:
     smaller doc_id (a null id is above all others).
     """
     scratch = _Scratch()
-    every = scratch.keep(docs.mapInArrow(segments(units), OCC), "segments")
+    every = scratch.keep(docs.transform(tables.mapped, segments(units), OCC), "segments")
     seen = every.groupBy("anchor").agg(F.count("*").alias("c"), *([F.min("low").alias("a"), F.max("low").alias("b")] if older else []))
     again = scratch.keep(seen.filter("a < b" if older else "c > 1").select("anchor"), "anchors")
     occ = tables.keep(every.join(again.hint("shuffle_hash"), "anchor", "left_semi"), "repeated-segments")
@@ -330,7 +330,7 @@ def repeated(docs: DataFrame, units: Units, verdict, older: bool) -> DataFrame:
         .agg(F.collect_list(F.struct("anchor", "seg", "n", "low", _ws(place).alias("ws"), _nw(place).alias("nw"), _at(place).alias("at"), "rivals")).alias("wanted"))
     )
     # a repeated row is cut twice here; its classes have n > 1 in any case, so that changes no verdict
-    with_body = scratch.keep(docs.select("rk", "text").join(wanted.hint("shuffle_hash"), "rk").select("text", "wanted").mapInArrow(bodies(units), CLASS), "bodies")
+    with_body = scratch.keep(docs.select("rk", "text").join(wanted.hint("shuffle_hash"), "rk").select("text", "wanted").transform(tables.mapped, bodies(units), CLASS), "bodies")
     marks = tables.keep(alone.unionByName(_resolve(units, with_body, verdict, 0, scratch)), "marks")
     scratch.clear()
     hits = occ.select("rk", "low", "anchor", "seg", _ws(place).alias("ws")).join(marks.hint("shuffle_hash"), ["anchor", "seg"])

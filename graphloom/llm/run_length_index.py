@@ -180,7 +180,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, kept: bool = True) -> Dat
     rows = tables.texts(docs)
     spans = repeats.repeated(rows, _units(length), verdict(length), older=False)
     joined = rows.join(spans, "rk", "left").select("doc_id", "text", "spans")
-    out = joined.mapInArrow(_apply(kept), RESULT)
+    out = joined.transform(tables.mapped, _apply(kept), RESULT)
     return out if kept else out.drop("kept")
 
 
@@ -197,7 +197,7 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = tables.texts(docs)
     spans = repeats.repeated(rows, BYTES, verdict(BYTES.length), older=False)
     joined = docs.withColumn("__rk", tables.row_key(docs)).join(spans.select(F.col("rk").alias("__rk"), F.col("spans").alias("__spans")), "__rk", "left").drop("__rk")
-    cut = joined.mapInArrow(_cut, joined.schema)
+    cut = joined.transform(tables.mapped, _cut, joined.schema)
     kept = cut.filter("NOT (text = '' AND __spans IS NOT NULL)")
     return kept.withColumn("n_chars", F.when(F.col("__spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(columns)
 

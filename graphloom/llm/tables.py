@@ -2,32 +2,52 @@
 
 from __future__ import annotations
 
-import gc
+import contextlib
+import ctypes
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources import shared
 
 
+#: Session settings that the operators rely on, where the session has none of its own: batches between the JVM and
+#: Python are bounded by bytes, whatever the rows hold, and a query's shuffle files go when it ends.
+SETTINGS = {"spark.sql.execution.arrow.maxBytesPerBatch": "4m", "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+
+
+def prepare(spark: SparkSession) -> None:
+    for name, value in SETTINGS.items():
+        if spark.conf.get(name, None) is None:
+            spark.conf.set(name, value)
+
+
+def mapped(frame: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """`mapInArrow`, after which the worker gives its free memory back: workers are used again, by other stages too."""
+
+    def lean(batches):
+        yield from run(batches)
+        give_back()
+
+    return frame.mapInArrow(lean, schema)
+
+
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def keep(frame: DataFrame, name: str) -> DataFrame:
     """Write `frame` as a table in the shared folder and return it as read back.
 
     This cuts lineage: what follows reads the table, so a lost executor costs
-    the tasks it was running and nothing before them.  The plan that made the
-    table is let go at once, so that Spark's cleaner can drop its shuffle files.
+    the tasks it was running and nothing before them.
     """
-    spark = frame.sparkSession
-    stored = shared.store(frame, name)
-    del frame
-    release(spark)
-    return stored
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark's context cleaner find shuffles that nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    prepare(frame.sparkSession)
+    return shared.store(frame, name)
 
 
 def drop(frame: DataFrame) -> None:
@@ -49,6 +69,7 @@ def texts(docs: DataFrame) -> DataFrame:
     rk stands for the row: equal only for rows with the same id and text, so a
     repeated row gets its result from the same group and no join multiplies it.
     """
+    prepare(docs.sparkSession)
     return docs.select(
         row_key(docs).alias("rk"),
         docs["doc_id"].cast("long").alias("doc_id"),
@@ -57,4 +78,5 @@ def texts(docs: DataFrame) -> DataFrame:
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

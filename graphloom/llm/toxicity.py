@@ -295,7 +295,7 @@ def _learn(sample: DataFrame, n_toxic: int) -> list[np.ndarray]:
     found = (
         sample.filter("toxic = 1")
         .select("text")
-        .mapInArrow(_keys(), "kind int, key long, context long")
+        .transform(tables.mapped, _keys(), "kind int, key long, context long")
         .distinct()
         .groupBy("kind", "key")
         .agg(F.count("*").alias("c"))
@@ -306,7 +306,7 @@ def _learn(sample: DataFrame, n_toxic: int) -> list[np.ndarray]:
     )
     inside = {(r.kind, r.key): r.c for r in found}
     candidates = [np.sort(np.array([key for kind, key in inside if kind == k], dtype=np.int64).view(_U)) for k in range(4)]
-    other = sample.filter("toxic = 0").select("text").mapInArrow(_elsewhere(candidates), "kind int, key long, other long").groupBy("kind", "key").agg(F.sum("other").alias("o")).collect()
+    other = sample.filter("toxic = 0").select("text").transform(tables.mapped, _elsewhere(candidates), "kind int, key long, other long").groupBy("kind", "key").agg(F.sum("other").alias("o")).collect()
     outside = {(r.kind, r.key): r.o for r in other}
     good = sorted((-c, k) for k, c in inside.items() if c >= 6 * outside.get(k, 0))[:LEARNED]
     return [np.sort(np.array([key for _, (kind, key) in good if kind == k], dtype=np.int64).view(_U)) for k in range(4)]
@@ -354,7 +354,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         return Model(Lexicon(fixed, second), None, np.zeros(0), np.zeros(0))
     halves = [Lexicon(fixed, second, _learn(held.filter(F.col("fold") == f), count.get(f, 0))) for f in (0, 1)]
     whole = Lexicon(fixed, second, _learn(held, sum(count.values())))
-    got = held.mapInArrow(_features(halves), "fold int, toxic int, x array<double>").collect()  # at most `sample` rows (more if ids repeat)
+    got = held.transform(tables.mapped, _features(halves), "fold int, toxic int, x array<double>").collect()  # at most `sample` rows (more if ids repeat)
     x = np.array([r.x for r in got], dtype=np.float64).reshape(-1, FEATURES)
     y = np.array([r.toxic for r in got], dtype=np.float64)
     fold = np.array([r.fold for r in got], dtype=np.int64)
@@ -390,7 +390,7 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame
     rows.  Other columns are not read.
     """
     model = fit(docs, labels, sample)
-    out = tables.texts(docs).select("doc_id", "text").mapInArrow(_score(model), SCORED)
+    out = tables.texts(docs).select("doc_id", "text").transform(tables.mapped, _score(model), SCORED)
     held = F.coalesce(remainder(F.col("doc_id")) == 2, F.lit(False))
     return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= REJECT).cast("int").alias("predicted"))
 
@@ -409,4 +409,4 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
             kept = [model.score(Text(part, off)) < REJECT for _, _, part, off in chunks(data, offsets)]
             yield batch.filter(pa.array(np.concatenate(kept) if kept else np.zeros(0, dtype=bool)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.transform(tables.mapped, run, docs.schema)
