@@ -1,8 +1,9 @@
 """Connected components of an edge table by alternating large and small stars.
 
-Every round is two aggregations and two equi-joins on long columns; rounds grow
-with the logarithm of the longest path.  The rounds end when every component is
-a star around its least node, which one more aggregation tells.
+Every round is two aggregations and two equi-joins on long columns, split where a
+node has very many edges; rounds grow with the logarithm of the longest path.
+They end when every component is a star around its least node, which one more
+aggregation tells.
 """
 
 from __future__ import annotations
@@ -13,22 +14,23 @@ from pyspark.sql import functions as F
 from . import tables
 
 
-def _least(both: DataFrame) -> DataFrame:
-    return both.groupBy("u").agg(F.min("v").alias("m"))
+def _least(edges: DataFrame) -> DataFrame:
+    """(u, m): the least neighbour, stored, so that a join with it has a shuffle on either side, which can be split at a hub."""
+    return tables.keep(edges.groupBy("u").agg(F.min("v").alias("m")), "least")
 
 
-def _large(edges: DataFrame) -> DataFrame:
+def _large(edges: DataFrame, scratch: list[DataFrame]) -> DataFrame:
     """Each larger neighbour of u moves to the least of u and its neighbours."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    star = both.join(_least(both), "u").filter("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
-    return star.distinct()
+    scratch.append(_least(both))
+    return both.join(scratch[-1], "u").filter("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
 
 
-def _small(edges: DataFrame) -> DataFrame:
-    """Each smaller neighbour of u, and u itself, move to the least of them."""
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    star = down.join(_least(down), "u")
-    return star.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(star.select("u", F.col("m").alias("v"))).distinct()
+def _small(edges: DataFrame, scratch: list[DataFrame]) -> DataFrame:
+    """Each smaller neighbour of u, and u itself, move to the least of them (u > v in every edge)."""
+    scratch.append(_least(edges))
+    star = edges.join(scratch[-1], "u")
+    return star.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(scratch[-1].select("u", F.col("m").alias("v")))
 
 
 def _unsettled(edges: DataFrame) -> DataFrame:
@@ -46,7 +48,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     for _ in range(rounds):
         if _unsettled(edges).isEmpty():
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        above = tables.keep(_small(_large(edges)), "stars")
-        tables.drop(edges)
-        edges = above
+        scratch = [edges]
+        scratch.append(tables.keep(_large(edges, scratch).distinct(), "stars"))
+        edges = tables.keep(_small(scratch[-1], scratch).distinct(), "stars")
+        for table in scratch:
+            tables.drop(table)
     raise RuntimeError(f"no fixed point after {rounds} rounds")

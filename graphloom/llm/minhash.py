@@ -30,14 +30,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.ordering import positions
+from ..operators.ordering import running_totals
 from . import components, tables
 from .textscan import SPACE_WORDS, Words, chunks, flat, grams, keys, mix, run_bounds, signed
 
 _U = np.uint64
 SIDE, ROWS = 20, 3
-#: Members in a block of the exact comparison, and shingles that are multiplied at a time.
-BLOCK, WIDE = 256, 8192
+#: Shingles in a block of the exact comparison (a member counts as LEAST at least), shingles and members of a part of it
+#: that is compared at a time, and shingles that are multiplied at a time.
+BLOCK, LEAST, PART, MEMBERS, WIDE = 1 << 19, 256, 1 << 17, 256, 8192
 _TURN = keys(31, 2 * SIDE * ROWS) | _U(1)
 _ADD = keys(32, 2 * SIDE * ROWS)
 
@@ -80,7 +81,7 @@ def band_keys(hashes: np.ndarray, bound: np.ndarray, tag: int = 0) -> np.ndarray
     return out
 
 
-SIGNED = "rk long, doc_id long, n_shingles long, sid long, a array<long>, b array<long>"
+SIGNED = "rk long, doc_id long, n_shingles long, sid long, second long, a array<long>, b array<long>"
 
 
 def _sign(k: int):
@@ -93,14 +94,15 @@ def _sign(k: int):
                 full = np.flatnonzero(size > 0)
                 band = band_keys(hashes, bound)
                 raw = memoryview(np.ascontiguousarray(hashes)).cast("B")
-                sid = np.zeros(len(size), dtype=_U)
-                sid[full] = [xxhash.xxh3_64_intdigest(raw[8 * bound[r] : 8 * bound[r + 1]]) for r in full.tolist()]
+                sid = np.zeros((2, len(size)), dtype=_U)
+                whole = [xxhash.xxh3_128_intdigest(raw[8 * bound[r] : 8 * bound[r + 1]]) for r in full.tolist()]
+                sid[0, full], sid[1, full] = [x >> 64 for x in whole], [x & 0xFFFFFFFFFFFFFFFF for x in whole]
                 at = np.zeros(len(size) + 1, dtype=np.int32)
                 np.cumsum(np.where(size > 0, SIDE, 0), out=at[1:])
                 lists = [pa.ListArray.from_arrays(pa.array(at), pa.array(signed(np.ascontiguousarray(band[:, s : s + SIDE]).reshape(-1)))) for s in (0, SIDE)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("rk").slice(i, j - i), batch.column("doc_id").slice(i, j - i), pa.array(size.astype(np.int64)), pa.array(signed(sid), mask=size == 0), *lists],
-                    names=["rk", "doc_id", "n_shingles", "sid", "a", "b"],
+                    [batch.column("rk").slice(i, j - i), batch.column("doc_id").slice(i, j - i), pa.array(size.astype(np.int64)), *(pa.array(signed(x), mask=size == 0) for x in sid), *lists],
+                    names=["rk", "doc_id", "n_shingles", "sid", "second", "a", "b"],
                 )
 
     return run
@@ -159,17 +161,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     gives no rows.  Columns beside doc_id and text are not read.
     """
     rows = tables.texts(docs)
-    sigs = tables.keep(rows.transform(tables.mapped, _sign(words), SIGNED), "signatures")
-    reps = tables.keep(
-        sigs.filter("sid IS NOT NULL")
-        .groupBy("sid")
-        .agg(F.min("doc_id").alias("low"), F.min("rk").alias("rk"), F.first("n_shingles").alias("n"), F.first("a").alias("a"), F.first("b").alias("b")),
-        "representatives",
-    )
+    sigs, reps = _representatives(tables.keep(rows.transform(tables.mapped, _sign(words), SIGNED), "signatures"))
     active = tables.keep(_active(reps), "active")
-    wanted = reps.select("sid", "rk").join(active.select("sid"), "sid")
+    wanted = reps.select("sid", F.col("rk").alias("rk2"), "own").join(active.select("sid"), "sid")
     # a repeated row makes its set twice, and so a link twice, which changes no component
-    sets = tables.keep(rows.select("rk", "text").join(wanted, "rk").select("sid", "text").transform(tables.mapped, _sets(words), "sid long, shingles binary"), "sets")
+    sets = tables.keep(rows.join(wanted, (F.col("rk") == F.col("rk2")) & F.col("doc_id").eqNullSafe(F.col("own"))).select("sid", "text").transform(tables.mapped, _sets(words), "sid long, shingles binary"), "sets")
     links = _links(active, sets, percent)
     roots = components.components(links)
     named = reps.select("sid", "low").join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
@@ -180,6 +176,23 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
 
 
+def _representatives(sigs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(signatures, one row for each distinct set): sid is a set's number in both.
+
+    sid starts as one half of a set's 128-bit hash; where sets differ in the other
+    half, it takes that in, so that none is taken for another one.
+    """
+    # all firsts are of one row
+    one = (F.first(c).alias(to) for c, to in (("rk", "rk"), ("doc_id", "own"), ("n_shingles", "n"), ("a", "a"), ("b", "b")))
+    grouped = sigs.filter("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("low"), *one, F.min("second").alias("x"), F.max("second").alias("y"))
+    reps = tables.keep(grouped, "representatives")
+    clash = reps.filter("x <> y").select("sid", F.lit(True).alias("clash"))
+    if clash.isEmpty():
+        return sigs, reps.drop("x", "y")
+    apart = F.when(F.col("clash"), F.xxhash64("sid", "second")).otherwise(F.col("sid"))
+    return _representatives(tables.keep(sigs.join(clash, "sid", "left").withColumn("sid", apart).drop("clash"), "signatures"))
+
+
 def _again(reps: DataFrame, side: str) -> DataFrame:
     """(sid, keys of this collection that another representative has too, how often they occur in all)."""
     each = reps.select("sid", F.explode(side).alias("key"))
@@ -203,7 +216,8 @@ def _links(active: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Confirmed links that connect whatever all links connect."""
     # first the hub of each key of collection a, if it has the member's table key as well
     each = active.select("sid", "n", "b", "weight", F.explode("a").alias("key"))
-    hub = each.groupBy("key").agg(F.max(F.struct("weight", "sid")).alias("hub")).select("key", F.col("hub.sid").alias("hub"))
+    # stored for the same reason as in `_again`
+    hub = tables.keep(each.groupBy("key").agg(F.max(F.struct("weight", "sid")).alias("hub")).select("key", F.col("hub.sid").alias("hub")), "hubs")
     pairs = each.select("sid", "key").join(hub, "key").filter("sid <> hub").select("sid", "hub").distinct()
     pairs = (
         pairs.join(active.select("sid", "n", "b"), "sid")
@@ -225,23 +239,64 @@ def _blockwise(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links between different components of the undecided members, by exact comparison in blocks.
 
     Members that share keys, directly or through others, are a cluster.  In the
-    order of cluster and component, they are cut into blocks of BLOCK rows; two
-    blocks that hold members of one cluster are compared by a matrix product of
-    their shingles, unless all those members are of one component already.  A
-    pair of blocks gives at most one link for each pair of components, so nothing
-    grows with the square of a cluster but the arithmetic.
+    order of cluster and component, they are cut into blocks of about BLOCK
+    shingles; two blocks that hold members of one cluster are compared, unless all
+    those members are of one component already.  A pair of blocks gives at most one
+    link for each pair of components.  What is sent for a cluster of n blocks is
+    n * n blocks: a block is as large as a task can hold twice, so this number is
+    small for any cluster that the arithmetic, which is quadratic too, allows.
     """
     each = left.select("sid", F.explode("a").alias("key"))
-    least = each.groupBy("key").agg(F.min("sid").alias("v"))
+    least = tables.keep(each.groupBy("key").agg(F.min("sid").alias("v")), "least")
     clusters = components.components(each.join(least, "key").select(F.col("sid").alias("u"), "v"))
-    named = left.select("sid", "root").join(clusters.select(F.col("node").alias("sid"), F.col("root").alias("cluster")), "sid", "left").withColumn("cluster", F.coalesce("cluster", "sid"))
-    at = tables.keep(positions(named, "at", "cluster", "root", "sid").withColumn("block", F.floor(F.col("at") / BLOCK)), "placed")
+    named = left.select("sid", "root", F.greatest("n", F.lit(LEAST)).alias("size")).join(clusters.select(F.col("node").alias("sid"), F.col("root").alias("cluster")), "sid", "left")
+    placed = running_totals(named.withColumn("cluster", F.coalesce("cluster", "sid")), ["size"], "cluster", "root", "sid")
+    at = tables.keep(placed.select("sid", "root", "cluster", F.floor(F.col("size_before") / BLOCK).alias("block")), "placed")
     packed = tables.keep(at.join(sets, "sid").groupBy("block").agg(F.collect_list(F.struct("cluster", "root", "sid", "shingles")).alias("pack")), "blocks")
-    held = at.groupBy("cluster", "block").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    held = tables.keep(at.groupBy("cluster", "block").agg(F.min("root").alias("low"), F.max("root").alias("high")), "held")
     mate = held.select("cluster", F.col("block").alias("other"), F.col("low").alias("low2"), F.col("high").alias("high2"))
     pairs = held.join(mate, "cluster").filter((F.col("block") <= F.col("other")) & (F.least("low", "low2") < F.greatest("high", "high2"))).select("block", "other").distinct()
     second = packed.select(F.col("block").alias("other"), F.col("pack").alias("pack2"))
-    return pairs.join(packed, "block").join(second, "other").select("pack", "pack2").transform(tables.mapped, _compare(percent), "u long, v long")
+    both = pairs.join(packed, "block").join(second, "other")
+    return both.select("block", "other", "pack", "pack2").transform(tables.mapped, _compare(percent), "u long, v long")
+
+
+class _Pack:
+    """Members of a block, and the parts in which they are compared."""
+
+    def __init__(self, pack: pa.Array):
+        self.cluster, self.root, self.sid = (pack.field(f).to_numpy(zero_copy_only=False) for f in ("cluster", "root", "sid"))
+        self.sets = [np.frombuffer(x.as_buffer(), dtype=_U) for x in pack.field("shingles")]
+        order = np.lexsort((self.sid, self.root, self.cluster))
+        size = np.array([len(self.sets[k]) for k in order.tolist()], dtype=np.int64)
+        number = (np.cumsum(size) - size) // PART + np.arange(len(order)) // MEMBERS
+        self.parts = np.split(order, np.flatnonzero(np.diff(number)) + 1)
+
+
+def _similar(x: _Pack, mine: np.ndarray, y: _Pack, others: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of members of two parts that are of one cluster, not of one component, and similar enough."""
+    wanted = (x.cluster[mine][:, None] == y.cluster[others][None, :]) & (x.root[mine][:, None] != y.root[others][None, :])
+    if not wanted.any():
+        return mine[:0], others[:0]
+    parts = [*(x.sets[k] for k in mine.tolist()), *(y.sets[k] for k in others.tolist())]
+    n, m = len(parts), len(mine)
+    size = np.array([len(p) for p in parts], dtype=np.int64)
+    row = np.repeat(np.arange(n), size)
+    _, which, count = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
+    often = count > 1
+    number = np.cumsum(often) - 1
+    shared = often[which]
+    row, column = row[shared], number[which[shared]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    both = np.zeros((m, n - m), dtype=np.float32)
+    for begin in range(0, int(often.sum()), WIDE):
+        a, b = np.searchsorted(column, [begin, begin + WIDE])
+        held = np.zeros((n, WIDE), dtype=np.float32)
+        held[row[a:b], column[a:b] - begin] = 1
+        both += held[:m] @ held[m:].T
+    i, j = np.nonzero(wanted & (100 * both >= percent * (size[:m, None] + size[None, m:] - both)))
+    return mine[i], others[j]
 
 
 def _compare(percent: int):
@@ -251,31 +306,14 @@ def _compare(percent: int):
         for batch in batches:
             found: list[np.ndarray] = []
             for k in range(batch.num_rows):
-                sides = [batch.column(c)[k].values for c in ("pack", "pack2")]
-                cluster, root, sid = (np.concatenate([s.field(f).to_numpy(zero_copy_only=False) for s in sides]) for f in ("cluster", "root", "sid"))
-                parts = [np.frombuffer(x.as_buffer(), dtype=_U) for s in sides for x in s.field("shingles")]
-                n, m = len(parts), len(sides[0])
-                size = np.array([len(x) for x in parts], dtype=np.int64)
-                row = np.repeat(np.arange(n), size)
-                token, which, count = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
-                often = count > 1
-                number = np.cumsum(often) - 1
-                mine = often[which]
-                row, column = row[mine], number[which[mine]]
-                both = np.zeros((m, n - m), dtype=np.float32)
-                order = np.argsort(column, kind="stable")
-                row, column = row[order], column[order]
-                for begin in range(0, int(often.sum()), WIDE):
-                    a, b = np.searchsorted(column, [begin, begin + WIDE])
-                    held = np.zeros((n, WIDE), dtype=np.float32)
-                    held[row[a:b], column[a:b] - begin] = 1
-                    both += held[:m] @ held[m:].T
-                similar = 100 * both >= percent * (size[:m, None] + size[None, m:] - both)
-                similar &= (cluster[:m, None] == cluster[None, m:]) & (root[:m, None] != root[None, m:])
-                x, y = np.nonzero(similar)
-                if len(x):
-                    _, one = np.unique(np.stack([root[x], root[m + y]], axis=1), axis=0, return_index=True)
-                    found.append(np.stack([sid[x[one]], sid[m + y[one]]]))
+                x = _Pack(batch.column("pack")[k].values)
+                same = batch.column("block")[k] == batch.column("other")[k]
+                y = x if same else _Pack(batch.column("pack2")[k].values)
+                links = [_similar(x, a, y, b, percent) for p, a in enumerate(x.parts) for q, b in enumerate(y.parts) if not same or p <= q]
+                i, j = (np.concatenate(z) for z in zip(*links, strict=True))
+                if len(i):
+                    _, one = np.unique(np.stack([x.root[i], y.root[j]], axis=1), axis=0, return_index=True)
+                    found.append(np.stack([x.sid[i[one]], y.sid[j[one]]]))
             u, v = np.concatenate(found, axis=1) if found else np.zeros((2, 0), dtype=np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
@@ -323,6 +361,12 @@ def op3(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with the least id of their group (rows that repeat that document stay with it)."""
-    verdicts = near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(verdicts, docs["doc_id"].eqNullSafe(F.col("__id")), "left_semi")
+    """The documents with the least id of their group, by five-word shingles (rows that repeat that document stay with it).
+
+    Null, empty and wordless texts are groups of their own and stay; so does a
+    null id, unless its text is linked with that of a row with an id.  All columns
+    are kept as they are.  An empty table gives none.
+    """
+    (name,) = tables.free(docs, "id")
+    verdicts = near_duplicates(docs).filter("kept").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(verdicts, docs["doc_id"].eqNullSafe(F.col(name)), "left_semi")

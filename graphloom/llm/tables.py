@@ -59,6 +59,18 @@ def drop(frame: DataFrame) -> None:
             where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def free(docs: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of `docs` has."""
+    taken = {c.lower() for c in docs.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+        taken.add(name.lower())
+    return out
+
+
 def row_key(docs: DataFrame) -> Column:
     return F.xxhash64(docs["doc_id"].cast("long"), docs["text"].cast("string"))
 

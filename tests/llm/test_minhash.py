@@ -95,3 +95,21 @@ def test_empty_and_stage(spark):
     docs = spark.createDataFrame([(3, text, "a", "b", 1), (2, text + " more", "a", "b", 2), (5, "", None, None, None), (6, None, "a", "b", 0)], kind)
     out = minhash.stage(spark, docs, "")
     assert out.columns == docs.columns and sorted(r.doc_id for r in out.collect()) == [2, 5, 6]
+
+
+def test_blocks_and_parts(spark, monkeypatch):
+    """Blocks and parts of few members give the same links."""
+    for name, value in (("BLOCK", 600), ("LEAST", 10), ("PART", 200), ("MEMBERS", 2)):
+        monkeypatch.setattr(minhash, name, value)
+    rows = [(i, " ".join(f"w{j}" if j != 7 * i % 90 else f"x{i}" for j in range(100))) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.component_id for r in minhash.near_duplicates(docs).collect()} == {0}
+
+
+def test_sets_that_share_half_a_hash(spark):
+    kind = "rk long, doc_id long, n_shingles long, sid long, second long, a array<long>, b array<long>"
+    rows = [(1, 1, 3, 7, 5, [1], [2]), (2, 2, 3, 7, 6, [3], [4]), (3, 3, 3, 7, 5, [1], [2]), (4, 4, 3, 8, 5, [1], [2]), (5, 5, 0, None, None, [], [])]
+    sigs, reps = minhash._representatives(spark.createDataFrame(rows, kind))
+    sid = {r.doc_id: r.sid for r in sigs.collect()}
+    assert sid[1] == sid[3] != sid[2] and sid[4] == 8 and sid[5] is None and len(set(sid.values())) == 4
+    assert sorted((r.sid, r.low, r.n) for r in reps.collect()) == sorted([(sid[1], 1, 3), (sid[2], 2, 3), (8, 4, 3)])
