@@ -305,8 +305,13 @@ def _rivals(classes: DataFrame, nw, scratch: _Scratch) -> tuple[DataFrame, DataF
     return alone, rivals
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """Rows with `own`, the doc_id as `repeated` gives it (a null one is above all others)."""
+    return docs.withColumn("own", F.coalesce("doc_id", F.lit(int(NONE))))
+
+
 def repeated(docs: DataFrame, units: Units, verdict, older: bool) -> DataFrame:
-    """(rk, spans: array<struct<lo, hi>>): unit spans, half open, covered by repeated windows.
+    """(rk, own, spans: array<struct<lo, hi>>): unit spans, half open, covered by repeated windows.
 
     older=False: a window counts if its content starts anywhere else.
     older=True: a window counts if its content also starts in a document with a
@@ -318,26 +323,27 @@ def repeated(docs: DataFrame, units: Units, verdict, older: bool) -> DataFrame:
     again = scratch.keep(seen.filter("a < b" if older else "c > 1").select("anchor"), "anchors")
     occ = tables.keep(every.join(again.hint("shuffle_hash"), "anchor", "left_semi"), "repeated-segments")
     scratch.clear()
-    # both firsts are of one row
+    # all firsts are of one row
     classes = scratch.keep(
-        occ.groupBy("anchor", "seg").agg(F.count("*").alias("n"), F.min("low").alias("low"), F.first("rk").alias("rk"), F.first("place").alias("place")), "classes"
+        occ.groupBy("anchor", "seg").agg(F.count("*").alias("n"), F.min("low").alias("low"), F.first("rk").alias("rk"), F.first("low").alias("own"), F.first("place").alias("place")), "classes"
     )
     alone, rivals = _rivals(classes, _nw(F.col("place")), scratch)
     place = F.col("place")
     wanted = (
         classes.join(rivals.hint("shuffle_hash"), "anchor")
-        .groupBy("rk")
+        .groupBy("rk", "own")
         .agg(F.collect_list(F.struct("anchor", "seg", "n", "low", _ws(place).alias("ws"), _nw(place).alias("nw"), _at(place).alias("at"), "rivals")).alias("wanted"))
     )
     # a repeated row is cut twice here; its classes have n > 1 in any case, so that changes no verdict
-    with_body = scratch.keep(docs.select("rk", "text").join(wanted.hint("shuffle_hash"), "rk").select("text", "wanted").transform(tables.mapped, bodies(units), CLASS), "bodies")
+    with_body = scratch.keep(keyed(docs).select("rk", "own", "text").join(wanted.hint("shuffle_hash"), ["rk", "own"]).select("text", "wanted").transform(tables.mapped, bodies(units), CLASS), "bodies")
     marks = tables.keep(alone.unionByName(_resolve(units, with_body, verdict, 0, scratch)), "marks")
     scratch.clear()
     hits = occ.select("rk", "low", "anchor", "seg", _ws(place).alias("ws")).join(marks.hint("shuffle_hash"), ["anchor", "seg"])
     if older:
         hits = hits.withColumn("runs", F.filter("runs", lambda r: r["low"] < F.col("low"))).filter(F.size("runs") > 0)
     span = F.transform("runs", lambda r: F.struct((F.col("ws") + r["lo"]).alias("lo"), (F.col("ws") + r["hi"] + units.length).alias("hi")))
-    return hits.select("rk", span.alias("spans")).groupBy("rk").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    # as a set: however often a row is repeated, its spans are there once
+    return hits.select("rk", F.col("low").alias("own"), span.alias("spans")).groupBy("rk", "own").agg(F.flatten(F.collect_set("spans")).alias("spans"))
 
 
 def covered(spans: list | None, n: int) -> np.ndarray:

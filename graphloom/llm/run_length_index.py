@@ -179,7 +179,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, kept: bool = True) -> Dat
     """
     rows = tables.texts(docs)
     spans = repeats.repeated(rows, _units(length), verdict(length), older=False)
-    joined = rows.join(spans, "rk", "left").select("doc_id", "text", "spans")
+    joined = repeats.keyed(rows).join(spans, ["rk", "own"], "left").select("doc_id", "text", "spans")
     out = joined.transform(tables.mapped, _apply(kept), RESULT)
     return out if kept else out.drop("kept")
 
@@ -192,25 +192,35 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents without their repeated bytes; a document of which nothing is left goes.
 
     A span may begin or end within a character; the broken character goes too.
+    Rows without repeated bytes stay as they are, null and empty texts, null ids
+    and other columns included; repeated rows of 400 bytes or more are repeats of
+    one another and go.  An n_chars column, if there is one, follows the text.  An
+    empty table gives none.
     """
     columns = docs.columns
-    rows = tables.texts(docs)
-    spans = repeats.repeated(rows, BYTES, verdict(BYTES.length), older=False)
-    joined = docs.withColumn("__rk", tables.row_key(docs)).join(spans.select(F.col("rk").alias("__rk"), F.col("spans").alias("__spans")), "__rk", "left").drop("__rk")
-    cut = joined.transform(tables.mapped, _cut, joined.schema)
-    kept = cut.filter("NOT (text = '' AND __spans IS NOT NULL)")
-    return kept.withColumn("n_chars", F.when(F.col("__spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(columns)
-
-
-def _cut(batches):
-    for batch in batches:
-        at, column = batch.schema.get_field_index("text"), batch.column("text")
-        spans = batch.column("__spans")
-        hit = np.flatnonzero(spans.is_valid().to_numpy(zero_copy_only=False))
-        if len(hit):
-            rows = column.to_pylist()
-            for r in hit.tolist():
-                raw = np.frombuffer((rows[r] or "").encode(), dtype=np.uint8)
-                rows[r] = raw[~repeats.covered(spans[r].as_py(), len(raw))].tobytes().decode("utf-8", "ignore")
-            column = pa.array(rows, type=column.type)
-        yield pa.RecordBatch.from_arrays([column if i == at else c for i, c in enumerate(batch.columns)], schema=batch.schema)
+    rk, own, spans = tables.free(docs, "rk", "own", "spans")
+    found = repeats.repeated(tables.texts(docs), BYTES, verdict(BYTES.length), older=False)
+    wide = docs.withColumns({rk: tables.row_key(docs), own: F.coalesce(docs["doc_id"].cast("long"), F.lit(int(repeats.NONE)))})
+    joined = wide.join(found.select(F.col("rk").alias(rk), F.col("own").alias(own), F.col("spans").alias(spans)), [rk, own], "left").select(*columns, spans)
+    cut = joined.transform(tables.mapped, _cut(spans), joined.schema)
+    kept = cut.filter((F.col("text") != "") | F.col("text").isNull() | F.col(spans).isNull())
+    if "n_chars" in columns:
+        kept = kept.withColumn("n_chars", F.when(F.col(spans).isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+    return kept.select(columns)
+
+
+def _cut(name: str):
+    def run(batches):
+        for batch in batches:
+            at, column = batch.schema.get_field_index("text"), batch.column("text")
+            spans = batch.column(name)
+            hit = np.flatnonzero(spans.is_valid().to_numpy(zero_copy_only=False))
+            if len(hit):
+                rows = column.to_pylist()
+                for r in hit.tolist():
+                    raw = np.frombuffer((rows[r] or "").encode(), dtype=np.uint8)
+                    rows[r] = raw[~repeats.covered(spans[r].as_py(), len(raw))].tobytes().decode("utf-8", "ignore")
+                column = pa.array(rows, type=column.type)
+            yield pa.RecordBatch.from_arrays([column if i == at else c for i, c in enumerate(batch.columns)], schema=batch.schema)
+
+    return run

@@ -178,7 +178,7 @@ def remove_copied_spans(docs: DataFrame, length: int = 13, kept: bool = True) ->
     units = repeats.Units(words=True, length=length, gram=max(1, min(WORDS.gram, length)), cells=WORDS.cells, most=WORDS.most, shard=WORDS.shard)
     rows = tables.texts(docs)
     spans = repeats.repeated(rows, units, verdict(length), older=True)
-    out = rows.join(spans, "rk", "left").select("doc_id", "text", "spans").transform(tables.mapped, _apply(kept), RESULT)
+    out = repeats.keyed(rows).join(spans, ["rk", "own"], "left").select("doc_id", "text", "spans").transform(tables.mapped, _apply(kept), RESULT)
     return out if kept else out.drop("kept")
 
 
