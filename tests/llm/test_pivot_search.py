@@ -2,6 +2,7 @@
 
 import math
 import random
+from fractions import Fraction
 
 import pytest
 
@@ -11,7 +12,7 @@ SCHEMA = "vec_id long, embedding array<float>, rank int, score string"
 
 
 def brute(rows, every, k):
-    good = [(i, [math.floor(256 * float(c)) for c in v]) for i, v in rows if i is not None and v and all(c is not None and math.isfinite(c) for c in v)]
+    good = [(i, [math.floor(256 * Fraction(float(c))) for c in v]) for i, v in rows if i is not None and v and all(c is not None and math.isfinite(c) for c in v)]
     out = set()
     for q, x in {(i, tuple(v)) for i, v in good if i % every == 0}:
         found = sorted((-sum(a * b for a, b in zip(x, v)), i) for i, v in good if i != q and len(v) == len(x))[:k]
@@ -32,14 +33,22 @@ def test_against_brute_force(spark, monkeypatch, block):
     assert {tuple(x) for x in p.top_k(df, 10, 5).collect()} == brute(rows, 10, 5)
 
 
-def test_large_components(spark):
-    rows = [(0, [1e9, -3.5e8]), (1, [2e9, 1e7]), (2, [-1e9, 5.0])]
-    df = spark.createDataFrame([(i, v, 1, "x") for i, v in rows], "vec_id long, embedding array<double>, rank int, score string")
-    with pytest.raises(Exception):
-        p.top_k(df, 10, 5).collect()  # a score beyond a long is an error, not a wrong number
-    rows = [(0, [1e6, -3.5e5]), (1, [2e6, 1e4]), (2, [-1e6, 5.0])]
-    df = spark.createDataFrame([(i, v, 1, "x") for i, v in rows], "vec_id long, embedding array<double>, rank int, score string")
-    assert {tuple(x) for x in p.top_k(df, 10, 5).collect()} == brute(rows, 10, 5)
+def test_components_of_any_size(spark):
+    """Beyond what floating point multiplies exactly, and beyond a long: ranks are exact, such a score is null."""
+    r = random.Random(5)
+    kinds = [lambda: r.uniform(-1, 1), lambda: r.uniform(-1, 1) * 2.0 ** r.randint(20, 44), lambda: r.choice([-1, 1]) * 2.0 ** r.randint(45, 1023), lambda: r.choice([5e-324, -5e-324, 0.0])]
+    rows = [(i, [r.choice(kinds if i % 4 == 0 else kinds[:1])() for _ in range(3)]) for i in range(120)]
+    rows += [(200 + i, [r.uniform(-1, 1) * 2.0 ** r.randint(0, 20) for _ in range(4)]) for i in range(30)]
+    rows += [(7, rows[7][1]), (7, rows[8][1]), (10, rows[10][1]), (10, rows[10][1])]
+    df = spark.createDataFrame([(i, v, 1, "x") for i, v in rows], "vec_id long, embedding array<double>, rank int, score string").repartition(3)
+    wanted = {(q, n, i, s if -(1 << 63) <= s < 1 << 63 else None) for q, n, i, s in brute(rows, 10, 5)}
+    got = [tuple(x) for x in p.top_k(df, 10, 5).collect()]
+    assert len(got) == 75 and set(got) == wanted and any(x[3] is None for x in got) and any(x[3] is not None for x in got)
+
+
+def test_place_keeps_the_order():
+    values = sorted([0, 1, -1, 255, 256, -255, -256, 1 << 70, -(1 << 70), (1 << 70) + 1, -(1 << 2080), 1 << 2080])
+    assert sorted(values, key=p.place) == values
 
 
 def test_empty(spark):
