@@ -16,8 +16,10 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Iterator
 from html import unescape
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,8 +30,9 @@ from . import tables
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
 UNSEEN = frozenset(
-    "head title script style template noscript iframe noembed noframes object audio video canvas datalist map meta link base param source track svg math area".split()
+    "head title script style template noscript iframe noembed noframes object audio video canvas datalist meta link base param source track area annotation annotation-xml".split()
 )
+UNDRAWN = frozenset("defs symbol clippath mask pattern marker metadata desc title style script".split())  # within svg
 HEAD = frozenset("title meta link base script style template noscript".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table pre blockquote figure hr fieldset menu xmp".split())
 BLOCK = SPACED | frozenset(
@@ -63,16 +66,24 @@ TAG = re.compile(rf"<(?:!--(?P<note>.*?)(?:--!?>|\Z)|(?P<end>/?)(?P<name>[A-Za-z
 ATTRIBUTE = re.compile(rf"({NAME})(?:{VALUE})?")
 SPACE = re.compile(r"[ \t\n\r\f]+")
 STARTS = re.compile(r"[A-Za-z]")
-RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
-SIMPLE = re.compile(r"(?P<tag>[A-Za-z][\w-]*|\*)?(?P<more>(?:[.#][\w-]+)*)$")
+# The next character of a style sheet that ends a prelude, a declaration or a block; comments and strings hide them.
+MARK = re.compile(r"/\*.*?(?:\*/|\Z)|\"(?:[^\"\\\n]|\\.)*+\"?|'(?:[^'\\\n]|\\.)*+'?|\\.|[{};]", re.S)
+NOTE = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
+COMPOUND = re.compile(r"(?P<tag>[A-Za-z][\w-]*|\*)?(?P<more>(?:[.#][\w-]+|\[\s*[\w-]+\s*(?:=\s*(?:\"[^\"]*\"|'[^']*'|[\w-]+)\s*)?\])*)$")
+MORE = re.compile(r"([.#])([\w-]+)|\[\s*([\w-]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([\w-]+))\s*)?\]")
+FEATURE = re.compile(r"\(\s*([a-z-]+)\s*(?::\s*([^()]*?)\s*)?\)")
+# The screen that pages are shown on, and what holds for it beside its size.
+SCREEN = {"width": 1280, "height": 800}
+HOLDS = {("orientation", "landscape"), ("hover", "hover"), ("any-hover", "hover"), ("pointer", "fine"), ("any-pointer", "fine"), ("prefers-color-scheme", "light"), ("prefers-reduced-motion", "no-preference"), ("scripting", "none")}
 
 
 class Node:
-    __slots__ = ("tag", "attributes", "children")
+    __slots__ = ("tag", "attributes", "children", "above")
 
     def __init__(self, tag: str, rest: str = ""):
         self.tag = tag
         self.attributes = {}
+        self.above: Node | None = None
         self.children: list[Node | str] = []
         if rest and not rest.isspace():
             for name, a, b, c in ATTRIBUTE.findall(rest):
@@ -93,8 +104,12 @@ def parse(html: str) -> tuple[Node, list[str]]:
                 pop(len(stack) - 1)
             stack[-1].children.append(unescape(raw) if "&" in raw else raw)
 
-    def push(node: Node) -> None:
+    def add(node: Node) -> None:
+        node.above = stack[-1]
         stack[-1].children.append(node)
+
+    def push(node: Node) -> None:
+        add(node)
         stack.append(node)
         opened[node.tag] = opened.get(node.tag, 0) + 1
 
@@ -138,9 +153,9 @@ def parse(html: str) -> tuple[Node, list[str]]:
         name = name.lower()
         if found["end"]:
             if name == "br":
-                stack[-1].children.append(Node("br"))
+                add(Node("br"))
             elif name == "p" and not find({"p"}, FENCE):
-                stack[-1].children.append(Node("p"))
+                add(Node("p"))
             elif name in HEADING:
                 close(HEADING, FENCE)
             elif name == "table":
@@ -165,15 +180,16 @@ def parse(html: str) -> tuple[Node, list[str]]:
             push(Node("tr"))
         node = Node(name, found["rest"])
         if name in VOID:
-            stack[-1].children.append(node)
+            add(node)
             continue
         if name in RAW:
-            stack[-1].children.append(node)
+            add(node)
             end = re.compile(f"</{name}(?=[\\s/>])[^>]*>?", re.I).search(html, place)
             body = html[place : end.start() if end else n]
             place = end.end() if end else n
             if name == "style":
-                styles.append(body)
+                if _shown_on_screen(node.attributes.get("media", "")):
+                    styles.append(body)
             elif name in ("textarea", "xmp"):
                 node.children.append(unescape(body) if name == "textarea" else body)
             continue
@@ -184,44 +200,188 @@ def parse(html: str) -> tuple[Node, list[str]]:
     return root, styles
 
 
+def _blocks(text: str) -> Iterator[tuple[str, str | None]]:
+    """(prelude, body) of each block of a style sheet, at any depth of braces; a statement without a block has no body."""
+    begin, depth, head, inside = 0, 0, "", 0
+    for found in MARK.finditer(text):
+        mark = found[0]
+        if mark == "{":
+            if not depth:
+                head, inside = text[begin : found.start()], found.end()
+            depth += 1
+        elif mark == "}":
+            depth = max(0, depth - 1)
+            if not depth:
+                if inside:
+                    yield head, text[inside : found.start()]
+                begin, inside = found.end(), 0
+        elif mark == ";" and not depth:
+            yield text[begin : found.start()], None
+            begin = found.end()
+    if depth and inside:  # the sheet ends within a block
+        yield head, text[inside:]
+    elif not depth and text[begin:].strip():
+        yield text[begin:], None
+
+
+def _length(text: str) -> float | None:
+    found = re.fullmatch(r"(\d+(?:\.\d*)?|\.\d+)(px|em|rem)?", text)
+    return float(found[1]) * (16 if (found[2] or "px") != "px" else 1) if found else None
+
+
+def _holds(name: str, value: str | None) -> bool:
+    """Whether a media feature holds on the screen."""
+    least, _, side = name.rpartition("-")
+    if side in SCREEN and value and least in ("", "min", "max"):
+        size = _length(value)
+        return size is not None and (SCREEN[side] == size if not least else SCREEN[side] >= size if least == "min" else SCREEN[side] <= size)
+    return (name, value) in HOLDS if value else name in SCREEN or name == "color" or any(name == n for n, v in HOLDS if v != "none")
+
+
+def _shown_on_screen(media: str) -> bool:
+    """Whether one of the media queries matches; an empty list does."""
+    queries = [q.strip().lower() for q in media.split(",")]
+    if queries == [""]:
+        return True
+    for query in queries:
+        words = re.sub(r"\([^()]*\)", " ", query).split()
+        inverse = words[:1] == ["not"]
+        words = [w for w in words if w not in ("not", "only", "and")]
+        features = [_holds(n, v or None) for n, v in FEATURE.findall(query)]
+        odd = len(words) > 1 or query.count("(") != len(features)
+        if not odd and (all(features) and words in ([], ["all"], ["screen"])) != inverse:
+            return True
+    return False
+
+
+#: Compounds in a selector, at most; a longer one matches nothing.
+LONGEST = 200
+
+
 class Style:
-    """Display and visibility by simple selectors (element, class, id) of the page's own style elements and by attributes."""
+    """Display, visibility and white space by the page's own style elements and by attributes.
+
+    Selectors are elements, classes, ids, attributes, and these below one another;
+    other ones (states, siblings) match nothing.  Rules apply by importance, then
+    by how specific they are, then in their order.
+    """
 
     def __init__(self, texts: list[str]):
-        self.rules: list[tuple[str | None, set[str], str | None, dict[str, str]]] = []
+        #: (compound selectors from the element upwards, each with whether the next one is its parent, weight, declarations)
+        self.rules: dict[str | None, list[tuple[list, tuple, dict]]] = {}  # by an id, a class or the name that the element must have
+        self.known: dict[tuple[int, int], bool] = {}
+        self.count = 0
         for text in texts:
-            for selectors, body in RULE.findall(re.sub(r"/\*.*?\*/", "", text, flags=re.S)):
-                chosen = _declared(body)
-                for selector in selectors.split(",") if chosen else ():
-                    found = SIMPLE.match(selector.strip())
-                    if found and found[0]:
-                        more = re.findall(r"([.#])([\w-]+)", found["more"])
-                        tag = found["tag"]
-                        self.rules.append((None if tag in (None, "*") else tag.lower(), {v for k, v in more if k == "."}, next((v for k, v in more if k == "#"), None), chosen))
+            self._read(text)
+
+    def _read(self, text: str) -> None:
+        sheets = [iter(_blocks(text))]
+        while sheets:
+            block = next(sheets[-1], None)
+            if block is None:
+                sheets.pop()
+                continue
+            head, body = NOTE.sub(" ", block[0]).strip(), block[1]
+            if head.startswith("@"):
+                name, _, rest = head[1:].partition(" ")
+                name, _, bracket = name.lower().partition("(")
+                if body is not None and (name in ("layer", "supports") or name == "media" and _shown_on_screen(f"({bracket} {rest}" if bracket else rest)):
+                    sheets.append(iter(_blocks(body)))
+            elif body is not None and (chosen := _declared(body)):
+                for selector in re.findall(r"(?:\[[^\]]*\]|[^,])+", head):
+                    if found := _selector(selector):
+                        tag, wanted, name, *_ = found[0][0]
+                        key = f"#{name[0]}" if name else f".{min(wanted)}" if wanted else tag
+                        self.rules.setdefault(key, []).append((found[0], (*found[1], self.count), chosen))
+                        self.count += 1
 
     def of(self, node: Node) -> dict[str, str]:
-        own: dict[str, str] = {}
         a = node.attributes
-        if self.rules:
-            classes = set(a.get("class", "").split())
-            for tag, wanted, name, chosen in self.rules:
-                if (tag is None or tag == node.tag) and wanted <= classes and (name is None or name == a.get("id")):
-                    own |= chosen
-        if a:
-            if "hidden" in a and a["hidden"].lower() != "until-found":
-                own.setdefault("display", "none")
-            if "style" in a:
-                own |= _declared(a["style"])
+        if not self.rules and not a:
+            return {}
+        # (important, from the element itself, weight): value
+        best: dict[str, tuple] = {}
+        for key in (None, node.tag, f"#{a.get('id')}", *(f".{c}" for c in set(a.get("class", "").split()))) if self.rules else ():
+            for parts, weight, chosen in self.rules.get(key, ()):
+                if _fits_one(parts[0], node) and _below(parts, 1, node, self.known):
+                    for name, (value, important) in chosen.items():
+                        best[name] = max(best.get(name, ()), ((important, False, weight), value))
+        if "style" in a:
+            for name, (value, important) in _declared(a["style"]).items():
+                best[name] = max(best.get(name, ()), ((important, True, ()), value))
+        own = {name: value for name, (_, value) in best.items()}
+        if "hidden" in a and a["hidden"].lower() != "until-found":
+            own.setdefault("display", "none")
         return own
 
 
-def _declared(text: str) -> dict[str, str]:
-    out = {}
-    for part in text.split(";"):
-        name, _, value = part.partition(":")
+def _selector(text: str) -> tuple[list, tuple[int, int, int]] | None:
+    """(compounds from the last to the first, each with whether the one before it must be the parent; ids, classes, elements)."""
+    words = re.findall(r"(?:\[[^\]]*\]|[^\s>\[])+|[>\[]", text)
+    parts, ids, classes, tags, child = [], 0, 0, 0, False
+    for word in reversed(words):
+        if word == ">":
+            if child or not parts:
+                return None
+            child = True
+            continue
+        found = COMPOUND.match(word)
+        if not found or not word:
+            return None
+        if parts:
+            parts[-1][-1] = child
+        tag = found["tag"]
+        more = list(MORE.finditer(found["more"]))
+        name = [m[2] for m in more if m[1] == "#"]
+        wanted = {m[2] for m in more if m[1] == "."}
+        held = [(m[3].lower(), next((v for v in m.group(4, 5, 6) if v is not None), None)) for m in more if m[3]]
+        parts.append([tag.lower() if tag and tag != "*" else None, wanted, name, held, False])
+        ids, classes, tags, child = ids + len(name), classes + len(wanted) + len(held), tags + (parts[-1][0] is not None), False
+    return (parts, (ids, classes, tags)) if 0 < len(parts) <= LONGEST and not child else None
+
+
+def _fits_one(part: list, node: Node) -> bool:
+    tag, wanted, name, held, _ = part
+    a = node.attributes
+    if tag is not None and tag != node.tag or name and any(n != a.get("id") for n in name):
+        return False
+    if wanted and not wanted <= set(a.get("class", "").split()):
+        return False
+    return all(n in a and v in (None, a[n]) for n, v in held)
+
+
+def _below(parts: list, k: int, node: Node, known: dict[tuple[int, int], bool]) -> bool:
+    """Whether elements above this one match the compounds from the k-th on.  What is found for an element holds for the next ones too, so `known` keeps it."""
+    if k == len(parts):
+        return True
+    fits = lambda up: up is not None and _fits_one(parts[k], up) and _below(parts, k + 1, up, known)
+    if parts[k - 1][-1]:
+        return fits(node.above)
+    path, found = [], False
+    while node is not None and not found:
+        key = (id(parts[k]), id(node))
+        if key in known:
+            found = known[key]
+            break
+        path.append(key)
+        node = node.above
+        found = fits(node)
+    known.update(dict.fromkeys(path, found))
+    return found
+
+
+def _declared(text: str) -> dict[str, tuple[str, bool]]:
+    """(value, important) of the properties that matter; rules nested in the text are left out."""
+    out: dict[str, tuple[str, bool]] = {}
+    for part, body in _blocks(text):
+        name, _, value = NOTE.sub(" ", part).partition(":")
         name = name.strip().lower()
-        if name in ("display", "visibility", "white-space"):
-            out[name] = value.replace("!important", "").strip().lower()
+        if body is None and name in ("display", "visibility", "white-space"):
+            value, mark, word = value.lower().rpartition("!")
+            important = bool(mark) and word.strip() == "important"
+            kept = value.strip() if important else word.strip()
+            if kept and (important or not mark) and not (out.get(name, ("", False))[1] and not important):
+                out[name] = (kept, important)
     return out
 
 
@@ -294,12 +454,19 @@ def render(html: str) -> str:
     """The text that the page shows."""
     root, styles = parse(html)
     flow = Flow()
-    _walk(root, flow, Style(styles), True, False, 0)
+    # tables within tables are tasks that wait for one another, at any depth
+    tasks = [_walk(root, flow, Style(styles), True, False)]
+    while tasks:
+        inner = next(tasks[-1], None)
+        if inner is None:
+            tasks.pop()
+        else:
+            tasks.append(inner)
     return flow.text()
 
 
-def _walk(top: Node, flow: Flow, style: Style, visible: bool, kept: bool, depth: int) -> None:
-    """Lay out a subtree.  `depth`: of tables within tables; from 8 on, cells are laid out as blocks."""
+def _walk(top: Node, flow: Flow, style: Style, visible: bool, kept: bool) -> Iterator[Iterator]:
+    """Lay out a subtree; yields what has to be laid out before it goes on."""
     stack: list[tuple] = [("in", top, visible, kept)]
     counters: list[list] = []
     while stack:
@@ -308,11 +475,19 @@ def _walk(top: Node, flow: Flow, style: Style, visible: bool, kept: bool, depth:
             _leave(node, flow, counters)
             continue
         if isinstance(node, str):
-            if visible:
+            if visible and kind == "in":
                 (flow.keep if kept else flow.add)(node)
             continue
         tag = node.tag
         own = style.of(node)
+        if kind == "svg" and tag not in ("text", "foreignobject"):  # only these hold text there
+            if tag not in UNDRAWN and own.get("display") != "none":
+                if "visibility" in own:
+                    visible = own["visibility"] not in ("hidden", "collapse")
+                stack += [("svg", c, visible, kept) for c in reversed(node.children)]
+            continue
+        if kind == "svg":
+            flow.space = flow.space or bool(flow.parts)
         if (tag in UNSEEN and node is not top) or own.get("display") == "none" or (tag == "dialog" and "open" not in node.attributes):
             continue
         if tag == "input" or tag == "img":
@@ -334,11 +509,14 @@ def _walk(top: Node, flow: Flow, style: Style, visible: bool, kept: bool, depth:
             flow.space = flow.space or bool(flow.parts)
             stack += [("in", c, visible, kept) for o in reversed(children) if isinstance(o, Node) for c in reversed(o.children)]
             continue
-        elif tag == "table" and depth < 8:
+        elif tag == "table":
             flow.block(2)
-            _table(node, flow, style, visible, kept, depth)
+            yield _table(node, flow, style, visible, kept)
             flow.block(2)
             continue
+        elif tag == "svg":
+            stack += [("svg", c, visible, kept) for c in reversed(children)]
+            continue
         shown = own.get("display", "")
         if shown in ("inline", "inline-block") and tag in BLOCK:
             if shown == "inline-block":
@@ -400,25 +578,55 @@ def _leave(node: Node, flow: Flow, counters: list[list]) -> None:
     flow.block(2 if tag in SPACED and not (counters and tag in LISTS) else 1)
 
 
-def _number(node: Node, name: str) -> int:
-    value = node.attributes.get(name, "1")
-    return min(int(value), 1000) if value.isascii() and value.isdigit() and int(value) else 1
+def _number(node: Node, name: str, least: int, most: int) -> int:
+    """A whole number as HTML reads it, within its bounds; 1 if there is none."""
+    found = re.match(r"[ \t\n\r\f]*\+?(\d+)", node.attributes.get(name, "1"), re.ASCII)
+    if not found:
+        return 1
+    value = most if len(found[1].lstrip("0")) > 8 else int(found[1])
+    return 1 if value < least else min(value, most)
+
+
+class _Taken:
+    """Columns that cells of rows above take in the rows below them."""
+
+    def __init__(self):
+        self.spans: list[tuple[int, int, int]] = []  # (first column, column after the last, last row)
+
+    def row(self, number: int, wides: list[tuple[int, int]]) -> list[int]:
+        """Each cell's first column in this row, for cells of these (columns, rows)."""
+        self.spans = sorted(s for s in self.spans if s[2] >= number)
+        out, column, at, new = [], 0, 0, []
+        for wide, tall in wides:
+            while at < len(self.spans) and self.spans[at][0] <= column:
+                column = max(column, self.spans[at][1])
+                at += 1
+            out.append(column)
+            if tall > 1:
+                new.append((column, column + wide, number + tall - 1))
+            column += wide
+        self.spans += new
+        return out
+
 
+#: Fixed values of HTML: the most columns and rows that a cell can span.
+MOST_COLUMNS, MOST_ROWS = 1000, 65_534
 
-def _table(table: Node, flow: Flow, style: Style, visible: bool, kept: bool, depth: int) -> None:
-    """Rows of cells in columns as wide as their widest one-column cell, two spaces apart."""
-    rows: list[list[tuple[Node, bool]]] = []
+
+def _table(table: Node, flow: Flow, style: Style, visible: bool, kept: bool) -> Iterator[Iterator]:
+    """Rows of cells in columns as wide as their widest one-column cell, two spaces apart; a cell ends with its group of rows."""
+    rows: list[tuple[Node, list[tuple[Node, bool]]]] = []
     before: list[tuple[Node, bool]] = []
-    stack: list[tuple[Node, bool]] = [(table, visible)]
+    stack: list[tuple[Node, bool, Node]] = [(table, visible, table)]
     while stack:
-        node, seen = stack.pop()
+        node, seen, group = stack.pop()
         own = style.of(node)
         if own.get("display") == "none":
             continue
         if "visibility" in own:
             seen = own["visibility"] not in ("hidden", "collapse")
         if node.tag == "tr":
-            rows.append([(c, seen) for c in node.children if isinstance(c, Node) and c.tag in ("td", "th")])
+            rows.append((group, [(c, seen) for c in node.children if isinstance(c, Node) and c.tag in ("td", "th")]))
             before += [(c, seen) for c in node.children if isinstance(c, str) and not c.isspace() or isinstance(c, Node) and c.tag not in ("td", "th")]
             continue
         if node.tag not in ("table", "tbody", "thead", "tfoot"):
@@ -427,7 +635,7 @@ def _table(table: Node, flow: Flow, style: Style, visible: bool, kept: bool, dep
         inside = []
         for c in node.children:
             if isinstance(c, Node):
-                inside.append((c, seen))
+                inside.append((c, seen, node))
             elif not c.isspace():
                 before.append((c, seen))
         stack += reversed(inside)
@@ -436,36 +644,34 @@ def _table(table: Node, flow: Flow, style: Style, visible: bool, kept: bool, dep
             if seen:
                 flow.add(node)
         else:
-            _walk(node, flow, style, seen, kept, depth + 1)
+            yield _walk(node, flow, style, seen, kept)
     flow.end()
     grid: list[list[tuple[int, int, list[str]]]] = []
-    taken: dict[int, int] = {}  # column: rows that a cell above still takes
-    for row in rows:
-        line, column = [], 0
-        for cell, seen in row:
-            while taken.get(column, 0) > 0:
-                column += 1
+    taken, last = _Taken(), None
+    for number, (group, row) in enumerate(rows):
+        if group is not last:
+            taken, last = _Taken(), group
+        wides = [(_number(c, "colspan", 1, MOST_COLUMNS), _number(c, "rowspan", 0, MOST_ROWS) or MOST_ROWS) for c, _ in row]
+        line = []
+        for (cell, seen), column, (wide, _) in zip(row, taken.row(number, wides), wides, strict=True):
             own = Flow()
-            _walk(cell, own, style, seen, kept, depth + 1)
-            wide, tall = _number(cell, "colspan"), _number(cell, "rowspan")
+            yield _walk(cell, own, style, seen, kept)
             text = own.text()
             line.append((column, wide, text.split("\n") if text else []))
-            for k in range(column, column + wide):
-                taken[k] = max(taken.get(k, 0), tall)
-            column += wide
-        taken = {k: v - 1 for k, v in taken.items() if v > 1}
         grid.append(line)
     widths: dict[int, int] = {}
     for line in grid:
         for column, wide, text in line:
             if wide == 1:
                 widths[column] = max([widths.get(column, 0), *map(width, text)])
+    columns = sorted(widths)
+    begins = [0, *accumulate(widths[c] + 2 for c in columns)]
     for line in grid:
         for k in range(max((len(text) for _, _, text in line), default=0)):
             out, place = "", 0
             for column, _, text in line:
                 if k < len(text) and text[k]:
-                    begin = sum(w + 2 for c, w in widths.items() if c < column)
+                    begin = begins[bisect_left(columns, column)]
                     out += " " * max(begin - place, 2 if out else 0) if begin > place or out else ""
                     out += text[k]
                     place = max(begin, place + 2 if out != text[k] else 0) + width(text[k])
@@ -492,8 +698,10 @@ def extract(pages: DataFrame) -> DataFrame:
 
     Null and empty pages have an empty text; null ids and urls are carried.  A
     page that ends within a tag, comment or raw element loses that rest only.
-    Repeated rows are rendered each.  An empty table gives no rows.  Other columns
-    are not read.
+    Very long and very deeply nested pages are rendered whole.  Style rules count
+    as a screen of 1280 by 800 pixels shows them.  Cells span at most what HTML
+    allows, 1,000 columns and 65,534 rows.  Repeated rows are rendered each.  An
+    empty table gives no rows.  Other columns are not read.
     """
     rows = pages.select(pages["page_id"].cast("long").alias("page_id"), pages["url"].cast("string").alias("url"), pages["html"].cast("string").alias("html"))
     return rows.transform(tables.mapped, _apply, RESULT)

@@ -86,6 +86,83 @@ def test_stray_quotes_in_tags():
     assert len(render("<b a=' " * 50_000)) == 0
 
 
+def test_style_sheets():
+    assert render("<style>@media print{.x{display:none}}</style><p class=x>seen") == "seen"
+    assert render("<style>#a{display:block} p{display:none}</style><p id=a>seen<p>no") == "seen"
+    assert render("<style>p{display:none!important} #a{display:block}</style><p id=a style='display:block'>no") == ""
+    assert render("<style>p{display:none !important}</style><p style='display:block ! important'>seen") == "seen"
+    assert render("<style media=print>p{display:none}</style><style media='screen, print'>i{display:none}</style><p>seen<i>no") == "seen"
+    assert render("<style>@import 'a;b'; @font-face{src:x} @media screen and (max-width: 600px){p{display:none}} @media (min-width:40em){b{display:none}}</style><p>seen<b>no") == "seen"
+    assert render("<style>@supports (display:grid){@media not print{.a .b > i{display:none}}}</style><p class=a><u class=b><i>no</i><s><i>seen") == "seen"
+    assert render("<style>.a .b i{display:none} [k='v w'], [q]{display:none} p:hover{display:none}</style><p class=b><i>seen<u k='v w'>no</u><u k=v>too</u><u q>no") == "seentoo"
+    assert render("<style>p{/*}*/display:none} i{content:'}'; display:none} b{display:inline}</style><p>no</p><i>no</i><b hidden>seen") == "seen"
+    assert render("<style>p{color:red; .x{display:none} visibility:hidden}</style><p>no<b class=x style=visibility:visible>seen") == "seen"
+    assert render("<style>p{display:none</style><p>no</p>seen") == "seen"
+    assert len(render("<style>.x div{display:none}</style>" + "<div>" * 20_000 + "deep")) == 4
+
+
+def test_visibility_against_brute_force():
+    """Nested elements under random rules: each element's winning declaration is looked for anew."""
+    r = random.Random(3)
+    for _ in range(300):
+        rules = []
+        for _ in range(r.randint(1, 6)):
+            screen = r.random() < 0.7
+            tag, name, kind = r.choice(["b", "i", "*", ""]), r.choice(["", "", "#u", "#v"]), r.choice(["", ".x", ".y", ".x.y"])
+            if tag in ("b", "i") or name + kind:  # a rule for all would hide the page
+                rules.append((screen, tag, name, kind, r.choice(["none", "inline"]), r.random() < 0.3))
+        sheet = "".join(f"@media {'screen' if s else 'print'}{{{t}{n}{k}{{display:{v}{'!important' if m else ''}}}}}" for s, t, n, k, v, m in rules)
+        page, wanted, stack = f"<style>{sheet}</style>", [], [True]
+        for k in range(12):
+            if len(stack) > 1 and r.random() < 0.4:
+                page += f"</{tags.pop()}>"
+                stack.pop()
+            if len(stack) == 1:
+                tags = []
+            tag, name, kinds = r.choice("bi"), r.choice(["", "u", "v", "w"]), r.choice(["", "x", "y", "x y"])
+            inline = r.choice([None, None, None, ("none", False), ("inline", True)])
+            best = (False,)
+            shown = "inline"
+            for order, (screen, t, n, c, value, important) in enumerate(rules):
+                if screen and t in ("", "*", tag) and n in ("", "#" + name) and set(c.split(".")[1:]) <= set(kinds.split()):
+                    key = (True, important, False, bool(n), c.count("."), t not in ("", "*"), order)
+                    if key > best:
+                        best, shown = key, value
+            if inline and (True, inline[1], True) > best[:3]:
+                shown = inline[0]
+            style = f' style="display:{inline[0]}{"!important" * inline[1]}"' if inline else ""
+            page += f'<{tag} id="{name}" class="{kinds}"{style}> w{k} '
+            tags.append(tag)
+            stack.append(stack[-1] and shown != "none")
+            if stack[-1]:
+                wanted.append(f"w{k}")
+        assert render(page).split() == wanted, page
+
+
+def test_spans_as_html_allows_them():
+    tall = "<table><tr><td rowspan=3000>x<td>0" + "".join(f"<tr><td>{k}" for k in range(1, 3000)) + "</table>"
+    assert render(tall).split("\n")[2999] == "   2999"
+    assert render("<table><tr><td rowspan=0>x<td>0<tr><td>1<tbody><tr><td>y</table>") == "x  0\n   1\ny"
+    assert render("<table><tr><td colspan=' 2x'>wide<tr><td>a<td>b</table>") == "wide\na  b"
+    assert render(f"<table><tr><td rowspan={'9' * 5000} colspan=-1>x<td>0<tr><td>1</table>") == "x  0\n   1"
+    assert len(render("<table>" + "<tr>" + "<td colspan=1000 rowspan=65534>x" * 3000 + "<tr><td>y" * 30 + "</table>").split()) == 3030
+
+
+def test_tables_within_tables_at_any_depth():
+    deep = "<table><tr><td>k<td>" * 3000 + "in" + "</table>" * 3000
+    assert render(deep).split() == ["k"] * 3000 + ["in"]
+    page = "<table><tr><td>a<td>b<tr><td>long<td>c</table>"
+    for _ in range(12):
+        page = f"<table><tr><td>{page}</table>"
+    assert render(page) == "a     b\nlong  c"
+
+
+def test_graphics_formulas_and_maps():
+    assert render("<svg><title>no</title><defs><text>no</text></defs>no<g><text>two <tspan>words</tspan></text><text>more</text></g></svg>end") == "two words moreend"
+    assert render("x<math><mi>a</mi><mo>+</mo><mi>b</mi><annotation>no</annotation></math><map name=m>shown<area alt=no></map>") == "xa+bshown"
+    assert render("<svg><g style=display:none><text>no</text></g><foreignObject><p>yes</foreignObject></svg>") == "yes"
+
+
 def test_words_against_plain_reader():
     r = random.Random(8)
     inline, block = ["b", "i", "span", "a", "em"], ["div", "p", "section", "ul", "blockquote", "article", "h2"]
