@@ -62,6 +62,11 @@ def decide(probability: Column, threshold: Column | float) -> Column:
     return F.when(probability >= threshold, 1).otherwise(0)
 
 
+def fixed(value: Column, digits: int) -> Column:
+    """As Python prints a number with so many digits after the point, without grouping."""
+    return F.replace(F.format_number(value.cast("double"), digits), F.lit(","), F.lit(""))
+
+
 def number_or_na(value: Column, digits: int = 4) -> Column:
     """As printed in reports: grouped digits, or N/A where there is no number."""
     return F.coalesce(F.when(~F.isnan(value.cast("double")), F.format_number(value.cast("double"), digits)), F.lit("N/A"))

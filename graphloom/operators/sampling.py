@@ -53,7 +53,11 @@ def negatives(spark, excluded: DataFrame, nodes: int, n: int, seed: int = 43, ro
     Each round draws a tenth more than is missing (and 1024); after `rounds`
     rounds without enough non-edges the call fails instead of going on for ever.
     """
-    edges = excluded.select("src", "dst").distinct()
+    return _negatives(spark, excluded.select("src", "dst").distinct(), nodes, n, seed, rounds)
+
+
+def _negatives(spark, edges: DataFrame, nodes: int, n: int, seed: int, rounds: int = 8) -> DataFrame:
+    """The same for edges that are distinct."""
     found, have, first = None, 0, 0
     for _ in range(rounds):
         last = first + int((n - have) * 1.1) + 1024
@@ -62,13 +66,13 @@ def negatives(spark, excluded: DataFrame, nodes: int, n: int, seed: int = 43, ro
         have += good.count()
         first = last
         if have >= n:
-            return found.orderBy("cand_id").limit(n)
+            return positions(found, "at_", "cand_id").filter(F.col("at_") < n).drop("at_")
     raise ValueError(f"{have} of {n} negative edges found in {rounds} rounds: the graph is too dense")
 
 
 def degree_weighted_negatives(spark, edges: DataFrame, n: int, seed: int = 44) -> DataFrame:
     """(cand_id, src, dst): endpoints drawn in proportion to degree, i.e. as ends of two hashed edges; non-edges only."""
-    ranked = shared.store(shuffled(numbered_copies(edges), seed, ["src", "dst", "dup_no"]), "ranked")
+    ranked = ranked_edges(edges, seed)
     size = ranked.count()
     draw = spark.range(n).select(F.col("id").alias("cand_id"), below(size, seed, F.lit("a"), F.col("id")).alias("a"), below(size, seed, F.lit("b"), F.col("id")).alias("b"))
     left = ranked.select(F.col("rank").alias("a"), F.col("src"))
@@ -77,11 +81,14 @@ def degree_weighted_negatives(spark, edges: DataFrame, n: int, seed: int = 44) -
     return both.join(edges.select("src", "dst").distinct(), ["src", "dst"], "left_anti").select("cand_id", "src", "dst")
 
 
-def minibatch(edges: DataFrame, size: int, step: int, seed: int = 42) -> DataFrame:
-    """(draw, src, dst): `size` edges drawn with replacement."""
-    ranked = shared.store(shuffled(numbered_copies(edges), seed, ["src", "dst", "dup_no"]), "ranked")
-    n = ranked.count()
-    draws = edges.sparkSession.range(size).select(F.col("id").alias("draw"), below(n, seed, step, F.col("id")).alias("rank"))
+def ranked_edges(edges: DataFrame, seed: int = 42) -> DataFrame:
+    """Edges (src, dst, dup_no) with `rank`, their place in a hashed order, stored."""
+    return shared.store(shuffled(numbered_copies(edges), seed, ["src", "dst", "dup_no"]), "ranked")
+
+
+def minibatch(ranked: DataFrame, n: int, size: int, step: int, seed: int = 42) -> DataFrame:
+    """(draw, src, dst): `size` of the n edges of `ranked_edges` drawn with replacement."""
+    draws = ranked.sparkSession.range(size).select(F.col("id").alias("draw"), below(n, seed, step, F.col("id")).alias("rank"))
     return draws.join(ranked, "rank").select("draw", "src", "dst")
 
 

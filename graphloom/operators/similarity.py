@@ -5,15 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources import shared
+
+
+#: In-neighbours of a node that are paired in one task, about.
+GROUP = 1000
+
 
 def common_neighbours(edges: DataFrame) -> DataFrame:
     """(a, b, common) for a < b that share at least one distinct out-neighbour.
 
-    Pairs are made once (a < b) from distinct edges and counted map-side first.
+    Pairs are made once from distinct edges and counted map-side first.  The
+    in-neighbours of a node are dealt out to groups of about GROUP by a hash, and
+    each pair of groups is a key of its own, so a hub is spread over many tasks.
     """
     e = edges.select("src", "dst").distinct()
-    left, right = e.select(F.col("src").alias("a"), "dst"), e.select(F.col("src").alias("b"), "dst")
-    return left.join(right, "dst").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("common"))
+    groups = e.groupBy("dst").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("n"))
+    dealt = shared.store(e.join(groups, "dst").withColumn("g", F.pmod(F.xxhash64("src"), F.col("n")).cast("int")), "dealt")
+    left = dealt.select(F.col("src").alias("a"), "dst", F.col("g").alias("x"), F.explode(F.sequence("g", F.col("n") - 1)).alias("y"))
+    right = dealt.select(F.col("src").alias("b"), "dst", F.explode(F.sequence(F.lit(0), F.col("g"))).alias("x"), F.col("g").alias("y"))
+    pairs = left.join(right, ["dst", "x", "y"]).filter("x < y OR a < b")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).groupBy("a", "b").agg(F.count("*").alias("common"))
 
 
 def similarities(edges: DataFrame, kind: str = "jaccard") -> DataFrame:

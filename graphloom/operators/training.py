@@ -141,6 +141,7 @@ def evaluate_vectors(pairs: DataFrame, source: DataFrame, target: DataFrame | No
     return metrics.evaluate(shared.store(scored, "scored"))
 
 
+# The line formats of validation_line, of "Step N/M" and of "Epoch N/M" lines below.
 def validation_line(step: int, m: dict, means: bool = False) -> str:
     show = lambda k: "N/A" if m.get(k) is None else f"{m[k]:.4f}"
     line = f"  [VAL] Step {step} | AUC: {show('auc')} | AP: {show('ap')} | F1: {show('f1')} | Threshold: {show('threshold')}"
@@ -181,22 +182,26 @@ def train_bce(edges: DataFrame, config: BceConfig = BceConfig(), run: Run = Run(
     spark = edges.sparkSession
     train, val, encoded, index, n = _prepared(edges, config.ratio, config.seed)
     pairs = validation_pairs(val, encoded, n, config.seed)
-    size = min(config.batch, train.count())
+    ranked, known = sampling.ranked_edges(train, config.seed), shared.store(train.distinct(), "known")
+    m = ranked.count()
+    size = min(config.batch, m)
     saved = run.load(spark)
     state = saved["state"] if saved else shared.store(fresh_state(sampling.xavier_vectors(index, n, config.dim, config.seed)), "state")
     kept = saved["meta"].get("metrics", {}) if saved else {}
-    history = []
+    history, stale = [], [] if saved else [state]
     for step in range(saved["step"] + 1 if saved else 1, config.steps + 1):
-        positive = sampling.minibatch(train, size, step, config.seed).select("src", "dst", F.lit(1).alias("label"))
-        negative = sampling.negatives(spark, train, n, size, config.seed * 1000 + step).select("src", "dst", F.lit(0).alias("label"))
+        positive = sampling.minibatch(ranked, m, size, step, config.seed).select("src", "dst", F.lit(1).alias("label"))
+        negative = sampling._negatives(spark, known, n, size, config.seed * 1000 + step).select("src", "dst", F.lit(0).alias("label"))
         batch = shared.store(positive.unionByName(negative), "batch")
         vectors = state.select("idx", "vec")
         loss = bce_loss(batch, vectors).first().loss
         if loss is None or math.isnan(loss):
             raise RuntimeError(f"the loss is not a number at step {step}")
         rate = 1e-5 + (config.rate - 1e-5) * (1 + math.cos(math.pi * (step - 1) / config.steps)) / 2
-        grad = clipped(shared.store(bce_gradient(batch, vectors), "gradient"))
-        state = shared.store(adam(state, grad, step, rate), "state")
+        grad = shared.store(bce_gradient(batch, vectors), "gradient")
+        state = shared.store(adam(state, clipped(grad), step, rate), "state")
+        shared.drop(batch, grad, *stale)
+        stale = [state]
         row, lines = {"step": step, "loss": loss}, []
         if step % run.log_every == 0:
             after = 1e-5 + (config.rate - 1e-5) * (1 + math.cos(math.pi * step / config.steps)) / 2
@@ -222,7 +227,7 @@ def train_walks(edges: DataFrame, config: WalkConfig = WalkConfig(), run: Run =
     spark = edges.sparkSession
     train, val, encoded, index, n = _prepared(edges, config.ratio, config.seed)
     pairs = validation_pairs(val, encoded, n, config.seed)
-    neighbours = shared.store(graph.neighbour_table(graph.both_ways(train)), "neighbours")
+    hops = walks.hop_tables(shared.store(graph.neighbour_table(graph.both_ways(train)), "neighbours"))
     saved = run.load(spark)
     if saved:
         into, out = saved["source"], saved["target"]
@@ -230,13 +235,13 @@ def train_walks(edges: DataFrame, config: WalkConfig = WalkConfig(), run: Run =
         into = shared.store(fresh_state(sampling.uniform_vectors(index, config.dim, config.seed)), "state")
         out = shared.store(fresh_state(sampling.uniform_vectors(index, config.dim, config.seed + 1)), "state")
     step, best = (saved["step"], saved["meta"].get("metrics", {})) if saved else (0, {})
-    history = []
+    history, stale = [], [] if saved else [into, out]
     for epoch in range(saved["meta"]["epoch"] if saved else 0, config.epochs):
         batches = shared.store(sampling.node_batches(index.select("idx"), config.batch_nodes, epoch, config.seed), "batches")
         for b in range(-(-n // config.batch_nodes)):
             starts = batches.filter(F.col("batch") == b).select(F.col("idx").alias("node"))
-            arrays = walks.walk_arrays(walks.random_walks(neighbours, starts, config.length, config.walks, config.seed * 1000 + epoch))
-            found = walks.context_pairs(arrays, config.window).withColumn("pair_id", F.concat_ws(":", "walk_id", "pos", "w"))
+            paths = walks.walk_paths(*hops, starts, config.length, config.walks, config.seed * 1000 + epoch)
+            found = walks.context_pairs(walks.moved(paths), config.window).withColumn("pair_id", F.concat_ws(":", "walk_id", "pos", "w"))
             positive = shared.store(found.select("pair_id", "center", "context"), "pairs")
             if positive.isEmpty():
                 continue
@@ -249,6 +254,8 @@ def train_walks(edges: DataFrame, config: WalkConfig = WalkConfig(), run: Run =
             history.append({"epoch": epoch + 1, "step": step, "loss": loss})
             if step % run.log_every == 0:
                 run.write(spark, [f"Epoch {epoch + 1}/{config.epochs} | Step {step} | Loss: {loss:.4f} | Pairs: {positive.count()}"])
+            shared.drop(positive, negative, *stale)
+            stale = [into, out]
         found = evaluate_vectors(pairs, into.select("idx", "vec"), out.select("idx", "vec")).first().asDict() | {"step": step, "epoch": epoch + 1}
         if not best or (found["f1"] or 0) >= (best.get("f1") or 0):
             best = found

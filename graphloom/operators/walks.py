@@ -9,46 +9,62 @@ from ..functions.scalar import hash32
 from ..sources import shared
 
 
-def random_walks(neighbours: DataFrame, starts: DataFrame, length: int, walks: int = 1, seed: int = 42, every: int = 5) -> DataFrame:
-    """(walk_id, pos, node) of `walks` walkers from each start.
+def hop_tables(neighbours: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(hops, degrees) of a neighbour table (node, k, nbr, degree), stored: every row of `hops` brings the degree of the node it leads to."""
+    degree = shared.store(neighbours.groupBy("node").agg(F.first("degree").alias("degree")), "degrees")
+    after = degree.select(F.col("node").alias("nbr"), F.col("degree").alias("next_degree"))
+    return shared.store(neighbours.select("node", "k", "nbr").join(after, "nbr", "left"), "hops"), degree
+
+
+def walk_paths(hops: DataFrame, degree: DataFrame, starts: DataFrame, length: int, walks: int = 1, seed: int = 42, every: int = 5) -> DataFrame:
+    """(walk_id, nodes) of `walks` walkers from each start, over the tables of `hop_tables`.
 
-    `neighbours` is a neighbour table (node, k, nbr, degree).  A hop is one
-    equi-join on (node, k), with k hashed from the walk and the hop; each row of
-    the table brings the degree of the node it leads to, so a hop needs no second
-    lookup and a hub is no hot key.  A walker at a node without neighbours ends
-    there.  Every few hops the walkers are stored to cut the plan.
+    A hop is one equi-join on (node, k), with k hashed from the walk and the hop,
+    so it needs no second lookup and a hub is no hot key.  A walker carries its
+    path; at a node without neighbours it stays and its path ends.  Every few hops
+    the walkers are stored to cut the plan.
     """
-    degree = neighbours.groupBy("node").agg(F.first("degree").alias("degree"))
-    hops = shared.store(
-        neighbours.select("node", "k", "nbr").join(degree.select(F.col("node").alias("nbr"), F.col("degree").alias("next_degree")), "nbr", "left"), "hops"
-    )
     walkers = (
         starts.select("node")
         .select("node", F.explode(F.sequence(F.lit(0), F.lit(walks - 1))).alias("w"))
         .select(F.concat_ws(":", F.col("node").cast("string"), F.col("w").cast("string")).alias("walk_id"), "node")
         .join(degree, "node", "left")
+        .select("walk_id", F.array("node").alias("nodes"), "node", "degree")
     )
-    out = walkers.select("walk_id", F.lit(0).alias("pos"), "node")
     for hop in range(1, length):
-        moved = (
-            walkers.filter("degree > 0")
-            .withColumn("k", hash32(seed, F.col("walk_id"), hop) % F.col("degree"))
-            .join(hops, ["node", "k"])
-            .select("walk_id", F.col("nbr").alias("node"), F.col("next_degree").alias("degree"))
+        draw = hash32(seed, F.col("walk_id"), hop)
+        # a walker that stays looks for a row that isn't there, each at another place
+        walkers = (
+            walkers.withColumn("k", F.when(F.col("degree") > 0, draw % F.col("degree")).otherwise(-1 - draw % 1024))
+            .join(hops, ["node", "k"], "left")
+            .select(
+                "walk_id",
+                F.when(F.col("nbr").isNull(), F.col("nodes")).otherwise(F.concat("nodes", F.array("nbr"))).alias("nodes"),
+                F.coalesce("nbr", "node").alias("node"),
+                F.when(F.col("nbr").isNotNull(), F.col("next_degree")).alias("degree"),
+            )
         )
-        walkers = shared.store(moved, "walkers") if hop % every == 0 else moved
-        out = out.unionByName(walkers.select("walk_id", F.lit(hop).alias("pos"), "node"))
-        if hop % every == 0:
-            if walkers.isEmpty():
+        if hop % every == 0 and hop < length - 1:
+            walkers = shared.store(walkers, "walkers")
+            if walkers.filter("degree > 0").isEmpty():
                 break
-            out = shared.store(out, "walks")
-    return out
+    return walkers.select("walk_id", "nodes")
+
+
+def random_walks(neighbours: DataFrame, starts: DataFrame, length: int, walks: int = 1, seed: int = 42, every: int = 5) -> DataFrame:
+    """(walk_id, pos, node) of `walks` walkers from each start over a neighbour table (node, k, nbr, degree)."""
+    return walk_paths(*hop_tables(neighbours), starts, length, walks, seed, every).select("walk_id", F.posexplode("nodes").alias("pos", "node"))
+
+
+def moved(paths: DataFrame) -> DataFrame:
+    """The walks of more than one node."""
+    return paths.filter(F.size("nodes") > 1)
 
 
 def walk_arrays(walks: DataFrame) -> DataFrame:
     """(walk_id, nodes): ragged walks of more than one node."""
     steps = walks.groupBy("walk_id").agg(F.array_sort(F.collect_list(F.struct("pos", "node"))).alias("steps"))
-    return steps.filter(F.size("steps") > 1).select("walk_id", F.transform("steps", lambda s: s["node"]).alias("nodes"))
+    return moved(steps.select("walk_id", F.transform("steps", lambda s: s["node"]).alias("nodes")))
 
 
 def context_pairs(arrays: DataFrame, window: int = 5) -> DataFrame:

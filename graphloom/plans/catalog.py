@@ -168,20 +168,21 @@ def _coded(spark, sf_dir):
     return shared.store(coded, "coded"), index.count()
 
 
-NEGATIVES = f"""cand AS (SELECT i AS cand_id, {h("43", "'u'", "i")} % (SELECT count(*) FROM idx) AS src, {h("43", "'v'", "i")} % (SELECT count(*) FROM idx) AS dst FROM range(60000) t(i)),
- neg AS (SELECT cand_id, src, dst FROM cand WHERE src <> dst AND NOT EXISTS (SELECT 1 FROM coded c WHERE c.src = cand.src AND c.dst = cand.dst) ORDER BY cand_id LIMIT 400)"""
+NEGATIVES = f"""cand AS (SELECT i AS cand_id, {h("43", "'u'", "i")} % (SELECT count(*) FROM idx) AS src, {h("43", "'v'", "i")} % (SELECT count(*) FROM idx) AS dst FROM (SELECT unnest(range(8 * (SELECT count(*) FROM coded) + 4096)) AS i)),
+ neg AS (SELECT cand_id, src, dst FROM (SELECT *, row_number() OVER (ORDER BY cand_id) AS place FROM cand WHERE src <> dst AND NOT EXISTS (SELECT 1 FROM coded c WHERE c.src = cand.src AND c.dst = cand.dst))
+  WHERE place <= (SELECT count(*) FROM coded))"""
 
 
 @query(f"WITH {G2}, {G2_INDEX}, {G2_CODED}, {NEGATIVES} SELECT cand_id, src, dst FROM neg")
 def negative_edges(spark, sf_dir):
     coded, n = _coded(spark, sf_dir)
-    return sampling.negatives(spark, coded, n, 400, rounds=40).select("cand_id", "src", "dst")
+    return sampling.negatives(spark, coded, n, coded.count()).select("cand_id", "src", "dst")
 
 
 @query(f"WITH {G2}, {G2_INDEX}, {G2_CODED}, {NEGATIVES} SELECT src, dst, 1 AS label FROM coded UNION ALL SELECT src, dst, 0 FROM neg")
 def labelled_edges(spark, sf_dir):
     coded, n = _coded(spark, sf_dir)
-    negative = sampling.negatives(spark, coded, n, 400, rounds=40)
+    negative = sampling.negatives(spark, coded, n, coded.count())
     return coded.select("src", "dst", F.lit(1).alias("label")).unionByName(negative.select("src", "dst", F.lit(0).alias("label")))
 
 
@@ -199,13 +200,15 @@ def split_leakage(spark, sf_dir):
 @query(f"""WITH {G1}, {G1_SPLIT}, draw AS (SELECT i AS draw, {h("42", "1", "i")} % (SELECT count(*) FROM g1) AS rank FROM range(2000) t(i))
 SELECT draw, src, dst FROM draw JOIN ranked USING (rank)""")
 def minibatch_positives(spark, sf_dir):
-    return sampling.minibatch(graphs.purchases(spark, sf_dir), 2000, 1)
+    ranked = sampling.ranked_edges(graphs.purchases(spark, sf_dir))
+    return sampling.minibatch(ranked, ranked.count(), 2000, 1)
 
 
-@query(f"""WITH {G2} SELECT event_id AS pair_id, src AS center, j::INT AS j, {h("42", "event_id", "j")} % 1000 AS neg FROM g2 CROSS JOIN range(5) t(j)""")
+@query(f"""WITH {G2}, {G2_INDEX} SELECT event_id AS pair_id, src AS center, j::INT AS j, {h("42", "event_id", "j")} % (SELECT count(*) FROM idx) AS neg FROM g2 CROSS JOIN range(5) t(j)""")
 def skipgram_negatives(spark, sf_dir):
-    centers = graphs.handovers(spark, sf_dir).select(F.col("event_id").alias("pair_id"), F.col("src").alias("center"))
-    return sampling.context_negatives(centers, 1000)
+    edges = graphs.handovers(spark, sf_dir)
+    nodes = graph.index_by_key(graphs.handover_occurrences(edges)).count()
+    return sampling.context_negatives(edges.select(F.col("event_id").alias("pair_id"), F.col("src").alias("center")), nodes)
 
 
 @query(f"""WITH {G1}, {G1_SPLIT.replace("'42'", "'44'").replace("(42)", "(44)")}, draw AS (SELECT i AS cand_id, {h("44", "'a'", "i")} % (SELECT count(*) FROM g1) AS a, {h("44", "'b'", "i")} % (SELECT count(*) FROM g1) AS b FROM range(3000) t(i)),
@@ -229,9 +232,10 @@ def init_uniform(spark, sf_dir):
     return long_form(sampling.uniform_vectors(graphs.vectors(spark, sf_dir).select("idx"), 16), "vec")
 
 
-@query(_uniform_sql("(6.0::DOUBLE / (1000 + 16)) ** 0.5"))
+@query(_uniform_sql("(6.0::DOUBLE / ((SELECT count(*) FROM embeddings) + 16)) ** 0.5"))
 def init_xavier(spark, sf_dir):
-    return long_form(sampling.xavier_vectors(graphs.vectors(spark, sf_dir).select("idx"), 1000, 16), "vec")
+    nodes = graphs.vectors(spark, sf_dir).select("idx")
+    return long_form(sampling.xavier_vectors(nodes, nodes.count(), 16), "vec")
 
 
 # ---- walks
@@ -259,7 +263,16 @@ def forward_walks(spark, sf_dir):
 SELECT a.walk_id, a.pos, (b.pos - a.pos)::INT AS w, a.node AS center, b.node AS context FROM w a JOIN w b ON a.walk_id = b.walk_id AND b.pos > a.pos AND b.pos <= a.pos + 3""")
 def context_pairs(spark, sf_dir):
     neighbours = _neighbours(graph.both_ways(graphs.purchases(spark, sf_dir)))
-    return walks.context_pairs(walks.walk_arrays(walks.random_walks(neighbours, neighbours.select("node").distinct(), 6)), 3)
+    hops = walks.hop_tables(neighbours)
+    return walks.context_pairs(walks.moved(walks.walk_paths(*hops, hops[1].select("node"), 6)), 3)
+
+
+@query(f"WITH {G1} SELECT DISTINCT src || ':0' AS walk_id, 2 AS nodes FROM g1")
+def moved_walks(spark, sf_dir):
+    """From all nodes along purchases: walks from parts stay where they are and go."""
+    hops = walks.hop_tables(_neighbours(graphs.purchases(spark, sf_dir)))
+    paths = walks.moved(walks.walk_paths(*hops, graphs.shoppers_and_parts(spark, sf_dir), 5))
+    return paths.select("walk_id", F.size("nodes").alias("nodes"))
 
 
 # ---- similarity
@@ -466,19 +479,77 @@ def merged_embeddings(spark, sf_dir):
     return long_form(a.join(b, "idx").select("idx", scalar.mean_vector(F.col("vec"), F.col("other")).alias("merged")), "merged")
 
 
-@query()
+TRAIN_EDGES = f"""{G2}, g AS (SELECT src::VARCHAR AS src, dst::VARCHAR AS dst FROM g2),
+ names AS (SELECT node, row_number() OVER (ORDER BY node) - 1 AS idx FROM (SELECT src AS node FROM g UNION SELECT dst FROM g)),
+ enc AS (SELECT a.idx AS src, b.idx AS dst FROM g JOIN names a ON g.src = a.node JOIN names b ON g.dst = b.node),
+ ec AS (SELECT src, dst, row_number() OVER (PARTITION BY src, dst) AS dup_no FROM enc),
+ er AS (SELECT src, dst, row_number() OVER (ORDER BY {h("42", "src", "dst", "dup_no")}, src, dst, dup_no) - 1 AS rank FROM ec),
+ tr AS MATERIALIZED (SELECT src, dst FROM er WHERE rank >= greatest(1, floor((SELECT count(*) FROM enc) * 0.05))),
+ k AS MATERIALIZED (SELECT (SELECT count(*) FROM names) AS n, count(*) AS m, least(count(*), 65536) AS size FROM tr)"""
+
+
+def _initial(seed: str, bound: str) -> str:
+    return f"SELECT idx, d, ({h(seed, 'idx', 'd')} / 4294967296.0::DOUBLE - 0.5) * (2 * {bound}) AS x, 0.0::DOUBLE AS m, 0.0::DOUBLE AS v FROM names CROSS JOIN range(8) t(d)"
+
+
+def _bce_step(t: int, rate: str) -> str:
+    """State st{t} from st{t - 1}: a batch of training edges and as many non-edges, gradient, clipping, dense Adam."""
+    seed, old = str(42000 + t), f"st{t - 1}"
+    return f"""c{t} AS (SELECT i, {h(seed, "'u'", "i")} % n AS src, {h(seed, "'v'", "i")} % n AS dst FROM (SELECT unnest(range(8 * size + 4096)) AS i, n FROM k)),
+ ng{t} AS (SELECT src, dst FROM (SELECT *, row_number() OVER (ORDER BY i) AS place FROM c{t} WHERE src <> dst AND NOT EXISTS (SELECT 1 FROM tr WHERE tr.src = c{t}.src AND tr.dst = c{t}.dst)), k WHERE place <= size),
+ b{t} AS MATERIALIZED (SELECT row_number() OVER () AS r, * FROM (SELECT src, dst, 1 AS label FROM (SELECT {h("42", str(t), "i")} % m AS rank FROM (SELECT unnest(range(size)) AS i, m FROM k)) JOIN trk USING (rank) UNION ALL SELECT src, dst, 0 FROM ng{t})),
+ z{t} AS (SELECT r, b.src, b.dst, label, sum(s.x * o.x) AS z FROM b{t} b JOIN {old} s ON s.idx = b.src JOIN {old} o ON o.idx = b.dst AND o.d = s.d GROUP BY ALL),
+ e{t} AS MATERIALIZED (SELECT src, dst, (1 / (1 + exp(-z)) - label) / count(*) OVER () AS g FROM z{t}),
+ gr{t} AS MATERIALIZED (SELECT idx, d, sum(y) AS g FROM (SELECT e.src AS idx, o.d, e.g * o.x AS y FROM e{t} e JOIN {old} o ON o.idx = e.dst UNION ALL SELECT e.dst, s.d, e.g * s.x FROM e{t} e JOIN {old} s ON s.idx = e.src) GROUP BY idx, d),
+ f{t} AS (SELECT least(1.0, 1.0 / (sqrt(sum(g * g)) + 1e-6)) AS f FROM gr{t}),
+ mv{t} AS (SELECT idx, d, x, m * 0.9::DOUBLE + y * 0.1::DOUBLE AS m, v * 0.999::DOUBLE + y * y * 0.001::DOUBLE AS v FROM (SELECT s.*, coalesce(g * f, 0.0) AS y FROM {old} s LEFT JOIN gr{t} USING (idx, d) CROSS JOIN f{t})),
+ st{t} AS MATERIALIZED (SELECT idx, d, x - (m / (1 - 0.9::DOUBLE ** {t})) / (sqrt(v / (1 - 0.999::DOUBLE ** {t})) + 1e-8) * {rate} AS x, m, v FROM mv{t})"""
+
+
+TRAIN_BCE = f"""WITH {TRAIN_EDGES}, tc AS (SELECT src, dst, row_number() OVER (PARTITION BY src, dst) AS dup_no FROM tr),
+ trk AS MATERIALIZED (SELECT src, dst, row_number() OVER (ORDER BY {h("42", "src", "dst", "dup_no")}, src, dst, dup_no) - 1 AS rank FROM tc),
+ st0 AS MATERIALIZED ({_initial("42", "sqrt(6.0::DOUBLE / ((SELECT n FROM k) + 8))")}), {_bce_step(1, "0.01::DOUBLE")}, {_bce_step(2, "0.005005::DOUBLE")}
+SELECT idx, d::INT AS d, round(x, 6) AS value FROM st2"""
+
+
+def _user_edges(spark, sf_dir):
+    return graphs.handovers(spark, sf_dir).select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"))
+
+
+@query(TRAIN_BCE)
 def train_bce(spark, sf_dir):
-    edges = graphs.handovers(spark, sf_dir).select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"))
-    vectors, index, _ = training.train_bce(edges, training.BceConfig(steps=2, dim=8, batch=2000, validate_every=2, ratio=0.01))
-    return index.join(vectors, "idx").select("node", "idx", F.size("vec").alias("dim"))
+    """The vectors after two steps, a batch as large as the training edges (65,536 at most)."""
+    return long_form(training.train_bce(_user_edges(spark, sf_dir), training.BceConfig(steps=2, dim=8, validate_every=2))[0], "vec", 6)
+
+
+@query(TRAIN_BCE)
+def train_resumed(spark, sf_dir):
+    """The same in two runs: the second one goes on from the checkpoint of the first."""
+    at = training.Run(shared.fresh(spark, "checkpoint"), save_every=1)
+    for steps in (1, 2):
+        vectors = training.train_bce(_user_edges(spark, sf_dir), training.BceConfig(steps=steps, dim=8, validate_every=2), at)[0]
+    return long_form(vectors, "vec", 6)
 
 
-@query()
+def _walk_side(side: str, gradient: str) -> str:
+    return f"SELECT '{side}' AS side, idx, d::INT AS d, round(CASE WHEN g IS NULL THEN x ELSE x - (g * 0.1::DOUBLE / (1 - 0.9::DOUBLE)) / (sqrt(g * g * 0.001::DOUBLE / (1 - 0.999::DOUBLE)) + 1e-8) * 0.003::DOUBLE END, 6) AS value FROM {side}0 LEFT JOIN {gradient} USING (idx, d)"
+
+
+@query(f"""WITH RECURSIVE {TRAIN_EDGES}, bw AS (SELECT src, dst FROM tr UNION ALL SELECT dst, src FROM tr), starts AS (SELECT idx AS node FROM names),
+ {WALK.format(edges="bw", hash=HASH.format("concat_ws(':', '42000', w.walk_id, (w.pos + 1)::VARCHAR)"), last=4)},
+ pr AS MATERIALIZED (SELECT a.walk_id || ':' || a.pos || ':' || (b.pos - a.pos) AS pair_id, a.node AS center, b.node AS context FROM w a JOIN w b ON a.walk_id = b.walk_id AND b.pos > a.pos AND b.pos <= a.pos + 2),
+ ev AS MATERIALIZED (SELECT row_number() OVER () AS r, * FROM (SELECT center AS src, context AS dst, 1 AS y FROM pr UNION ALL SELECT center, {h("42000", "pair_id", "j")} % (SELECT n FROM k), 0 FROM pr CROSS JOIN range(2) t(j))),
+ src0 AS MATERIALIZED ({_initial("42", "0.5::DOUBLE")}), dst0 AS MATERIALIZED ({_initial("43", "0.5::DOUBLE")}),
+ z AS (SELECT r, ev.src, ev.dst, y, sum(s.x * o.x) AS z FROM ev JOIN src0 s ON s.idx = ev.src JOIN dst0 o ON o.idx = ev.dst AND o.d = s.d GROUP BY ALL),
+ e AS MATERIALIZED (SELECT src, dst, (1 / (1 + exp(-z)) - y) / (SELECT count(*) FROM pr) AS g FROM z),
+ gs AS (SELECT e.src AS idx, d, sum(e.g * x) AS g FROM e JOIN dst0 ON idx = e.dst GROUP BY ALL), gd AS (SELECT e.dst AS idx, d, sum(e.g * x) AS g FROM e JOIN src0 ON idx = e.src GROUP BY ALL)
+{_walk_side("src", "gs")} UNION ALL {_walk_side("dst", "gd")}""")
 def train_deepwalk(spark, sf_dir):
-    edges = graphs.handovers(spark, sf_dir).select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"))
-    config = training.WalkConfig(dim=8, length=5, window=2, walks=1, negatives=2, batch_nodes=100_000, epochs=1, ratio=0.01)
-    source, target, index, _ = training.train_walks(edges, config)
-    return index.join(source, "idx").join(target.withColumnRenamed("vec", "other"), "idx").select("node", "idx", F.size("vec").alias("dim"), F.size("other").alias("other_dim"))
+    """Source and target vectors after an epoch of one batch of all nodes."""
+    config = training.WalkConfig(dim=8, length=5, window=2, walks=1, negatives=2, batch_nodes=1 << 40, epochs=1)
+    source, target, *_ = training.train_walks(_user_edges(spark, sf_dir), config)
+    sides = [long_form(v, "vec", 6).withColumn("side", F.lit(side)) for v, side in ((source, "src"), (target, "dst"))]
+    return sides[0].unionByName(sides[1]).select("side", "idx", "d", "value")
 
 
 # ---- files
@@ -491,6 +562,38 @@ def adjacency_file(spark, sf_dir):
     return adjacency.read_adjacency(spark, path).select("src", F.size("nbrs").cast("long").alias("n_nbrs"), F.array_join("nbrs", ",").alias("nbrs"))
 
 
+@query(f"WITH {G1} SELECT src, (row_number() OVER (PARTITION BY src ORDER BY dst) - 1)::INT AS pos, dst FROM g1")
+def flattened_file(spark, sf_dir):
+    path = shared.fresh(spark, "adjacency")
+    adjacency.write_adjacency(graph.adjacency_lists(graphs.purchases(spark, sf_dir)), path)
+    return graph.edges_of(adjacency.read_adjacency(spark, path)).select("src", "pos", "dst")
+
+
+@query("""SELECT line, src, nbrs FROM (SELECT (row_number() OVER (ORDER BY event_id) - 1)::BIGINT AS line, 'e,' || event_id AS src, 'x"y||' || user_id || '|a"b' AS nbrs FROM events WHERE event_id % 5 <> 0)""")
+def odd_adjacency_file(spark, sf_dir):
+    """Blank lines, quoted and empty fields, quotes within fields."""
+    path = shared.fresh(spark, "adjacency")
+    e = graphs.table(spark, sf_dir, "events").select("event_id", "user_id")
+    value = F.when(F.col("event_id") % 5 == 0, "").otherwise(F.concat(F.lit('"e,'), F.col("event_id"), F.lit('","x""y",,'), F.col("user_id"), F.lit(',a"b')))
+    ordering.ordered(e.withColumn("value", value), "event_id").orderBy("part_", "place_").select("value").write.text(path)
+    return adjacency.read_adjacency(spark, path).select("line", "src", F.array_join("nbrs", "|").alias("nbrs"))
+
+
+@query("""SELECT vec_id::VARCHAR AS id, 'a,"' || vec_id AS u, ' b' AS v FROM embeddings""")
+def pair_file(spark, sf_dir):
+    path = shared.fresh(spark, "pairs")
+    e = graphs.table(spark, sf_dir, "embeddings")
+    rows = e.select(F.concat(F.col("vec_id"), F.lit(',"a,""'), F.col("vec_id"), F.lit('", b')).alias("Id,a,b"))
+    rows.write.option("header", True).option("quote", "").option("sep", "\u0001").csv(path)
+    return adjacency.read_pairs(spark, path)
+
+
+@query("""SELECT event_id, printf('%.2f', value::DOUBLE) AS two, printf('%.4f', value::DOUBLE) AS four, printf('%.6f', value::DOUBLE * 1000) AS six FROM events""")
+def number_formats(spark, sf_dir):
+    x = F.col("value").cast("double")
+    return graphs.table(spark, sf_dir, "events").select("event_id", scalar.fixed(x, 2).alias("two"), scalar.fixed(x, 4).alias("four"), scalar.fixed(x * 1000, 6).alias("six"))
+
+
 def _index(spark, sf_dir):
     return graphs.vectors(spark, sf_dir).select(F.concat(F.lit("n"), F.col("idx")).alias("node"), "idx")
 
@@ -544,7 +647,7 @@ def parse_log_validation(spark, sf_dir):
 @query(f"WITH {LINES} SELECT (row_number() OVER (ORDER BY line) - 1)::BIGINT AS line, value FROM lines")
 def log_file(spark, sf_dir):
     path = shared.fresh(spark, "log")
-    ordering.ordered(log_lines(spark, sf_dir), "line").select("value").coalesce(1).write.text(path)
+    ordering.ordered(log_lines(spark, sf_dir), "line").orderBy("part_", "place_").select("value").write.text(path)
     return logs.read_log(spark, path)
 
 

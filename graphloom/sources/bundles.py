@@ -1,9 +1,9 @@
 """Vector bundles and checkpoints as Parquet tables with a metadata row.
 
 A bundle directory holds `vectors` (node, idx, src_vec, dst_vec, merged_vec) and
-`meta` (one JSON row).  A checkpoint directory holds one `step=N` directory per
-save and `latest`, a table of save numbers, whose greatest is read: a save is
-visible only once it is complete, and nothing is overwritten while it is read.
+`meta` (one JSON row).  A checkpoint directory holds a `step=N` directory
+and `latest`, a table of save numbers, whose greatest is read.  It rolls: a save is
+visible once it is complete, and the saves before it go only then.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import mean_vector
+from . import shared
 
 
 def write_bundle(path: str, index: DataFrame, source: DataFrame, target: DataFrame | None = None, meta: dict | None = None) -> None:
@@ -53,13 +54,22 @@ def save_checkpoint(path: str, step: int, index: DataFrame, states: dict[str, Da
     for name, state in states.items():
         state.write.mode("overwrite").parquet(f"{at}/{name}")
     _write_meta(spark, f"{at}/meta", (meta or {}) | {"step": step, "states": sorted(states)})
-    spark.createDataFrame([(step,)], "step long").write.mode("append").parquet(f"{path}/latest")
+    latest = f"{path}/latest"
+    before = [r.step for r in spark.read.parquet(latest).distinct().collect()] if _exists(spark, latest) else []  # a save number each
+    spark.createDataFrame([(step,)], "step long").write.mode("append").parquet(latest)
+    for old in before:
+        if old < step:
+            shared.remove(spark, f"{path}/step={old}")
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
 
 
 def load_checkpoint(spark: SparkSession, path: str) -> dict | None:
     """{'step', 'index', 'meta', <state>...} of the latest save, or None where nothing was saved."""
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/latest")
-    if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+    if not _exists(spark, f"{path}/latest"):
         return None
     step = spark.read.parquet(f"{path}/latest").agg(F.max("step")).first()[0]
     at = f"{path}/step={step}"

@@ -31,6 +31,20 @@ def fresh(spark: SparkSession, name: str) -> str:
     return f"{folder(spark)}/graphloom/{name}-{uuid.uuid4().hex}"
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder, if it is there."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def drop(*frames: DataFrame) -> None:
+    """Delete tables made by `store` that nothing will read again; other ones stay."""
+    for frame in frames:
+        for path in {f.rsplit("/", 1)[0] for f in frame.inputFiles()}:
+            if "/graphloom/" in path:
+                remove(frame.sparkSession, path)
+
+
 def store(frame: DataFrame, name: str) -> DataFrame:
     """Write `frame` and return it as read back, so that what follows neither repeats nor depends on its lineage."""
     path = fresh(frame.sparkSession, name)

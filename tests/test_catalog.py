@@ -10,7 +10,7 @@ from graphloom.plans import catalog
 
 SF = Path(os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001"))
 # this graph is almost complete at the smallest scale
-DENSE = {"negative_edges", "labelled_edges"}
+DENSE = {"negative_edges", "labelled_edges", "train_bce", "train_resumed", "train_deepwalk"}
 
 
 @pytest.fixture(scope="module")
@@ -37,4 +37,4 @@ def test_query(spark, sql, name):
 
 
 def test_every_query_has_sql_or_says_why():
-    assert set(catalog.QUERIES) - set(catalog.ORACLES) == {"train_bce", "train_deepwalk"}
+    assert set(catalog.QUERIES) == set(catalog.ORACLES)

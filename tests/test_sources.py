@@ -1,5 +1,7 @@
 """Files: ragged adjacency, pairs, bundles, checkpoints, logs."""
 
+import csv
+
 import pytest
 
 from graphloom.operators import graph
@@ -35,6 +37,17 @@ def test_edges(hand):
     assert (reach.nodes, reach.reachable, reach.average_degree) == (7, 6, 2.666667)
 
 
+def test_quoted_fields(spark, tmp_path):
+    lines = ['"a,b",c', 'd"e,"f""g"h', '"",""","', '"open,x', ",", '"x"y"z",""']
+    (tmp_path / "quoted.csv").write_text("\n".join(lines) + "\n")
+    got = adjacency.read_adjacency(spark, str(tmp_path / "quoted.csv")).orderBy("line").collect()
+    want = [next(csv.reader([x])) for x in lines]
+    assert [[r.src, *r.nbrs] for r in got] == want
+    adjacency.write_adjacency(spark.createDataFrame([(w[0], w[1:]) for w in want], "src string, nbrs array<string>").coalesce(1), f"{tmp_path}/again")
+    again = adjacency.read_adjacency(spark, f"{tmp_path}/again").orderBy("line").collect()
+    assert [[r.src, *r.nbrs] for r in again] == want
+
+
 def test_pairs(spark, tmp_path):
     (tmp_path / "test.csv").write_text("Id,a,b\n1,x,y\n\n02, z,w\n")
     assert [tuple(r) for r in adjacency.read_pairs(spark, str(tmp_path / "test.csv")).collect()] == [("1", "x", "y"), ("02", " z", "w")]
@@ -44,7 +57,7 @@ def test_pairs(spark, tmp_path):
 
 
 def test_prediction_file(spark, tmp_path):
-    adjacency.write_predictions(spark.createDataFrame([("1", 0), ("2", 1)], "Id string, Predictions int"), f"{tmp_path}/out")
+    adjacency.write_predictions(spark.createDataFrame([("1", 0), ("2", 1)], "Id string, Predictions int"), f"{tmp_path}/out", one_file=True)
     (part,) = (tmp_path / "out").glob("part-*")
     assert part.read_bytes() == b"Id,Predictions\r\n1,0\r\n2,1\r\n"
 
@@ -74,6 +87,7 @@ def test_checkpoints(spark, tmp_path):
         states = {"source": table(spark, [(0, [float(step)])]), "target": table(spark, [(0, [1.0])])}
         bundles.save_checkpoint(f"{tmp_path}/c", step, index, states, {"config": {"dim": 7}, "metrics": {"threshold": 0.2}})
     found = bundles.load_checkpoint(spark, f"{tmp_path}/c")
+    assert sorted(p.name for p in (tmp_path / "c").glob("step=*")) == ["step=2"]  # it rolls
     assert found["step"] == 2 and found["source"].first().vec == [2.0]
     assert bundles.export(spark, f"{tmp_path}/c", f"{tmp_path}/b") == ["the configuration says 7 dimensions, the vectors have 1"]
     assert bundles.read_bundle(spark, f"{tmp_path}/b")[1] == 0.2
