@@ -8,9 +8,10 @@ shortest list, so most phrases end at their first, empty list.  A document lies
 in one shard, so nothing is shuffled, and neither a frequent word nor a frequent
 document makes a task larger than its slice of the input.
 
-The test phrases go to the tasks by broadcast in blocks of at most
-`BLOCK` words, whatever the size of the benchmark; with several blocks, the
-documents' hits are united by row.
+The index holds every term and is built once.  The test phrases search it in
+blocks of at most `BLOCK` words, one block after the other, so what the driver and
+a task hold of the benchmark is bounded; with several blocks, each one's hits are
+stored and united by row.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -28,43 +31,32 @@ from . import tables
 from .textscan import PLAIN_WORDS, Words, chunks, flat, signed
 
 _U = np.uint64
-#: Words of test phrases that are broadcast at a time (8 bytes each, and as much again for the tables made of them).
+#: Words of test phrases that search at a time.  A word is in at most 13 windows of 13 numbers, so this is 110 MB of tables at most.
 BLOCK = 1 << 20
 
 INDEX = "rk array<long>, doc_id array<long>, first array<int>, term binary, bound binary, place binary"
 
 
-def _build(vocabulary: np.ndarray | None):
-    """mapInArrow: (rk, doc_id, text) -> one row per shard; only terms of the vocabulary, if given."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = flat(batch.column("text"))
-            for i, j, part, off in chunks(data, offsets):
-                w = Words(part, off, PLAIN_WORDS)
-                place = np.arange(len(w.hash), dtype=np.int32)
-                term = w.hash
-                if vocabulary is not None:
-                    at = np.searchsorted(vocabulary, term)
-                    at[at == len(vocabulary)] = 0
-                    mine = vocabulary[at] == term if len(vocabulary) else np.zeros(len(term), dtype=bool)
-                    term, place = term[mine], place[mine]
-                order = np.argsort(term, kind="stable")
-                term, place = term[order], place[order]
-                begin = np.flatnonzero(np.append(True, term[1:] != term[:-1])[: len(term)])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([batch.column("rk").slice(i, j - i).to_pylist()], pa.list_(pa.int64())),
-                        pa.array([batch.column("doc_id").slice(i, j - i).to_pylist()], pa.list_(pa.int64())),
-                        pa.array([w.first.astype(np.int32)], pa.list_(pa.int32())),
-                        pa.array([term[begin].tobytes()], pa.binary()),
-                        pa.array([np.append(begin, len(term)).astype(np.int32).tobytes()], pa.binary()),
-                        pa.array([place.tobytes()], pa.binary()),
-                    ],
-                    names=["rk", "doc_id", "first", "term", "bound", "place"],
-                )
-
-    return run
+def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """mapInArrow: (rk, doc_id, text) -> one row per shard."""
+    for batch in batches:
+        data, offsets = flat(batch.column("text"))
+        for i, j, part, off in chunks(data, offsets):
+            w = Words(part, off, PLAIN_WORDS)
+            place = np.argsort(w.hash, kind="stable")
+            term = w.hash[place]
+            begin = np.flatnonzero(np.append(True, term[1:] != term[:-1])[: len(term)])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([batch.column("rk").slice(i, j - i).to_pylist()], pa.list_(pa.int64())),
+                    pa.array([batch.column("doc_id").slice(i, j - i).to_pylist()], pa.list_(pa.int64())),
+                    pa.array([w.first.astype(np.int32)], pa.list_(pa.int32())),
+                    pa.array([term[begin].tobytes()], pa.binary()),
+                    pa.array([np.append(begin, len(term)).astype(np.int32).tobytes()], pa.binary()),
+                    pa.array([place.astype(np.int32).tobytes()], pa.binary()),
+                ],
+                names=["rk", "doc_id", "first", "term", "bound", "place"],
+            )
 
 
 class Shard:
@@ -124,30 +116,29 @@ class Shard:
 
 @dataclass(frozen=True)
 class Phrases:
-    """Test phrases by length: terms [phrases, length], and for each phrase the items that hold it."""
+    """Test phrases by length: [phrases, length] numbers of terms in the vocabulary, and for each phrase the items that hold it."""
 
     groups: list[tuple[np.ndarray, list[list[int]]]]
-
-    @property
-    def vocabulary(self) -> np.ndarray:
-        return np.unique(np.concatenate([t.reshape(-1) for t, _ in self.groups])) if self.groups else np.zeros(0, dtype=_U)
+    vocabulary: np.ndarray
 
 
 def phrases(items: list[tuple[int, str]], length: int) -> Phrases:
     """The distinct windows of `length` words of each item; fewer words, but not none, are one window."""
     if not items:
-        return Phrases([])
+        return Phrases([], np.zeros(0, dtype=_U))
     column = pa.array([t for _, t in items], pa.string())
     data, offsets = flat(column)
     w = Words(data, offsets, PLAIN_WORDS)
+    vocabulary, number = np.unique(w.hash, return_inverse=True)
+    number = number.astype(np.int32)
     found: dict[int, dict[bytes, tuple[np.ndarray, set[int]]]] = {}
     for r, (item, _) in enumerate(items):
-        own = w.hash[w.first[r] : w.first[r + 1]]
+        own = number[w.first[r] : w.first[r + 1]]
         m = min(length, len(own))
         for s in range(len(own) - m + 1 if m else 0):
             window = own[s : s + m]
             found.setdefault(m, {}).setdefault(window.tobytes(), (window, set()))[1].add(item)
-    return Phrases([(np.stack([t for t, _ in by.values()]), [sorted(i) for _, i in by.values()]) for by in found.values()])
+    return Phrases([(np.stack([t for t, _ in by.values()]), [sorted(i) for _, i in by.values()]) for by in found.values()], vocabulary)
 
 
 def _search(tests: Phrases):
@@ -161,8 +152,9 @@ def _search(tests: Phrases):
                 n = len(first) - 1
                 hits: list[list[np.ndarray]] = [[] for _ in range(n)]
                 items: list[set[int]] = [set() for _ in range(n)]
+                slot = shard.slots(tests.vocabulary)
                 for terms, owners in tests.groups:
-                    slots = shard.slots(terms.reshape(-1)).reshape(terms.shape)
+                    slots = slot[terms]
                     for p in np.flatnonzero(slots.min(axis=1) >= 0).tolist():
                         start = shard.phrase(slots[p])
                         for s, r in zip(start.tolist(), shard.row(start).tolist(), strict=True):
@@ -200,9 +192,9 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
     yield block
 
 
-def build_index(docs: DataFrame, vocabulary: np.ndarray | None = None) -> DataFrame:
-    """Store the positional index of `docs` in the shared folder: every term, or those of a sorted array of term hashes."""
-    return tables.keep(tables.texts(docs).transform(tables.mapped, _build(vocabulary), INDEX), "index")
+def build_index(docs: DataFrame) -> DataFrame:
+    """Store the positional index of `docs` in the shared folder."""
+    return tables.keep(tables.texts(docs).transform(tables.mapped, _build, INDEX), "index")
 
 
 def term_hashes(words: list[str]) -> np.ndarray:
@@ -239,22 +231,20 @@ def proximity(index: DataFrame, words: list[str], within: int) -> DataFrame:
 
 def find_phrases(docs: DataFrame, benchmark: DataFrame, length: int = 13) -> DataFrame:
     """One row per document row: rk, doc_id, n_words, hits (positions of words in occurrences of a window), items."""
-    parts = []
-    for block in _blocks(benchmark):
-        tests = phrases(block, length)
-        parts.append(build_index(docs, tests.vocabulary).transform(tables.mapped, _search(tests), FOUND))
-    if len(parts) == 1:
-        return parts[0]
-    # every block has each row: one block gives the rows, all blocks' hits come together by row
-    every = parts[0].select("rk", "doc_id", "n_words")
-    hit = parts[0]
-    for p in parts[1:]:
-        hit = hit.unionByName(p)
-    hit = hit.filter(F.size("items") > 0).groupBy("rk").agg(
-        F.array_distinct(F.flatten(F.collect_list("hits"))).alias("hits"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items")
-    )
+    index = build_index(docs)
+    search = lambda block: index.transform(tables.mapped, _search(phrases(block, length)), FOUND)
+    blocks = _blocks(benchmark)
+    begin = list(islice(blocks, 2))
+    if len(begin) == 1:
+        return search(begin[0])
+    # every block has each row: an empty one gives the rows, all blocks' hits come together by row
+    own = F.coalesce("doc_id", F.lit(np.iinfo(np.int64).max)).alias("own")
+    parts = [tables.keep(search(block).filter(F.size("items") > 0).select("rk", own, "hits", "items"), "hits") for block in chain(begin, blocks)]
+    # as sets: however often a row is repeated, its hits are there once
+    hit = reduce(DataFrame.unionByName, parts).groupBy("rk", "own").agg(*(F.array_distinct(F.flatten(F.collect_set(c))).alias(c) for c in ("hits", "items")))
+    every = search([]).select("rk", own, "doc_id", "n_words")
     none = F.array().cast("array<long>")
-    return every.join(hit, "rk", "left").select("rk", "doc_id", "n_words", F.coalesce("hits", none).alias("hits"), F.coalesce("items", none).alias("items"))
+    return every.join(hit, ["rk", "own"], "left").select("rk", "doc_id", "n_words", F.coalesce("hits", none).alias("hits"), F.coalesce("items", none).alias("items"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, length: int = 13) -> DataFrame:
@@ -269,7 +259,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, length: int = 13) -> Da
 
     A null text has no words.  Benchmark rows with a null id or text take no
     part; rows that share an item_id are one item.  A null doc_id is carried as
-    null; repeated rows are judged alike.  An empty benchmark hits nothing, an
+    null; repeated rows are judged alike.  A very long text is a shard of its own.  An empty benchmark hits nothing, an
     empty table gives no rows.  Other columns are not read.
     """
     found = find_phrases(docs, benchmark, length)
@@ -290,11 +280,15 @@ def op2(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the benchmark does not contaminate."""
+    """The documents that the benchmark does not contaminate, with all their columns.
+
+    Null, empty and wordless texts and null ids stay unless contaminated; repeated
+    rows stay or go together.  An empty table gives none.
+    """
     found = find_phrases(docs, tables.load(spark, sf_dir, "benchmark"))
-    bad = found.filter((F.size("hits") > 0) & (20 * F.size("hits") >= F.col("n_words"))).select(F.col("rk").alias("__rk")).distinct()
-    columns = docs.columns
-    return docs.withColumn("__rk", tables.row_key(docs)).join(bad, "__rk", "left_anti").select(columns)
+    rk, own = tables.free(docs, "rk", "id")
+    bad = found.filter((F.size("hits") > 0) & (20 * F.size("hits") >= F.col("n_words"))).select(F.col("rk").alias(rk), F.col("doc_id").alias(own)).distinct()
+    return docs.join(bad, (tables.row_key(docs) == F.col(rk)) & docs["doc_id"].cast("long").eqNullSafe(F.col(own)), "left_anti")
 
 
 __all__ = ["Phrases", "Shard", "build_index", "decontaminate", "find_phrases", "op2", "phrases", "proximity", "signed", "stage", "term_hashes"]

@@ -50,13 +50,8 @@ def keep(frame: DataFrame, name: str) -> DataFrame:
     return shared.store(frame, name)
 
 
-def drop(frame: DataFrame) -> None:
-    """Delete a table made by `keep` that nothing will read again."""
-    spark = frame.sparkSession
-    for path in {f.rsplit("/", 1)[0] for f in frame.inputFiles()}:
-        if "/graphloom/" in path:
-            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+#: Delete tables made by `keep` that nothing will read again.
+drop = shared.drop
 
 
 def free(docs: DataFrame, *names: str) -> list[str]:
