@@ -326,7 +326,8 @@ def score(docs: DataFrame, vocabulary: Vocabulary, weights: Weights) -> DataFram
     """One row per input row: doc_id, n_tokens, log_likelihood (summed over all words) and its mean.
 
     Null, empty and wordless texts have no tokens, a sum of 0 and a null mean.  A
-    null doc_id is carried as null; repeated rows score alike.  An empty table
+    null doc_id is carried as null; repeated rows score alike, very long texts are
+    scored whole, equally frequent words are ranked by hash.  An empty table
     gives no rows.  Columns beside doc_id and text are not read.
 
     Words outside the vocabulary count as one word, seen `UNSEEN` times in each class.

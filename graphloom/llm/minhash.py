@@ -155,7 +155,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     links reach, itself included) and kept (doc_id = component_id).
 
     A text with fewer words is one shingle, a null or empty one has none and is
-    linked with nothing.  A null doc_id is above all others: such a row takes its
+    linked with nothing; a very long one is compared whole.  A null doc_id is above all others: such a row takes its
     component's least id, and stands alone (component null, kept) if all are
     null.  Rows that share a doc_id are kept or not together.  An empty table
     gives no rows.  Columns beside doc_id and text are not read.

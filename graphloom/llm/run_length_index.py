@@ -173,7 +173,8 @@ def remove_repeats(docs: DataFrame, length: int = 400, kept: bool = True) -> Dat
     One row per input row: doc_id, n_bytes, n_removed, n_spans (maximal removed
     runs), kept_sha256 and, with `kept`, the remaining bytes.
 
-    A null text is empty.  Empty and short texts (below `length`) keep all.  A
+    A null text is empty.  Empty and short texts (below `length`) keep all; very
+    long ones are cut into segments like others.  A
     null doc_id is carried as null.  Repeated rows are repeats of one another.
     An empty table gives no rows.  Columns beside doc_id and text are not read.
     """

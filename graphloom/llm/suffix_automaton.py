@@ -170,7 +170,8 @@ def remove_copied_spans(docs: DataFrame, length: int = 13, kept: bool = True) ->
     per input row: doc_id, n_words, n_removed, kept_sha256 and, with `kept`, the
     kept words joined by one space.
 
-    A null text has no words; texts below `length` words keep all.  A null doc_id
+    A null text has no words; texts below `length` words keep all, very long ones
+    are cut into segments like others.  A null doc_id
     counts as larger than every other and is carried as null.  Rows that share a
     doc_id remove nothing from one another.  An empty table gives no rows.
     Columns beside doc_id and text are not read.

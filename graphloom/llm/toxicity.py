@@ -29,8 +29,8 @@ from .textscan import PLAIN_WORDS, Words, chunks, flat, mix, signed
 _U = np.uint64
 #: Labelled rows that the classifier is fitted on, at most.
 SAMPLE = 24_000
-#: Lexicon entries that are learned, at most, and candidates that are counted for them.
-LEARNED, CANDIDATES = 2_000, 20_000
+#: Lexicon entries that are learned, at most, and candidates for them that are counted at a time (all are, part by part).
+LEARNED, CANDIDATES = 2_000, 50_000
 #: A document is rejected from this score on.
 REJECT = 0.3
 NEAR = 5
@@ -292,23 +292,16 @@ def _learn(sample: DataFrame, n_toxic: int) -> list[np.ndarray]:
     Surroundings count, not texts, so that copies of a text bring none of its words in.
     """
     least = max(3, n_toxic // 400)
-    found = (
-        sample.filter("toxic = 1")
-        .select("text")
-        .transform(tables.mapped, _keys(), "kind int, key long, context long")
-        .distinct()
-        .groupBy("kind", "key")
-        .agg(F.count("*").alias("c"))
-        .filter(F.col("c") >= least)
-        .orderBy(F.desc("c"), "kind", "key")
-        .limit(CANDIDATES)
-        .collect()  # at most CANDIDATES rows
-    )
-    inside = {(r.kind, r.key): r.c for r in found}
-    candidates = [np.sort(np.array([key for kind, key in inside if kind == k], dtype=np.int64).view(_U)) for k in range(4)]
-    other = sample.filter("toxic = 0").select("text").transform(tables.mapped, _elsewhere(candidates), "kind int, key long, other long").groupBy("kind", "key").agg(F.sum("other").alias("o")).collect()
-    outside = {(r.kind, r.key): r.o for r in other}
-    good = sorted((-c, k) for k, c in inside.items() if c >= 6 * outside.get(k, 0))[:LEARNED]
+    keys = sample.filter("toxic = 1").select("text").transform(tables.mapped, _keys(), "kind int, key long, context long")
+    found = tables.keep(keys.distinct().groupBy("kind", "key").agg(F.count("*").alias("c")).filter(F.col("c") >= least), "candidates")
+    parts = max(1, -(-found.count() // CANDIDATES))
+    good: list[tuple[int, tuple[int, int]]] = []
+    for part in range(parts):
+        inside = {(r.kind, r.key): r.c for r in found.filter(F.pmod(F.xxhash64("kind", "key"), F.lit(parts)) == part).collect()}  # about CANDIDATES rows
+        candidates = [np.sort(np.array([key for kind, key in inside if kind == k], dtype=np.int64).view(_U)) for k in range(4)]
+        other = sample.filter("toxic = 0").select("text").transform(tables.mapped, _elsewhere(candidates), "kind int, key long, other long")
+        outside = {(r.kind, r.key): r.o for r in other.groupBy("kind", "key").agg(F.sum("other").alias("o")).collect()}  # as many
+        good = sorted(good + [(-c, k) for k, c in inside.items() if c >= 6 * outside.get(k, 0)])[:LEARNED]
     return [np.sort(np.array([key for _, (kind, key) in good if kind == k], dtype=np.int64).view(_U)) for k in range(4)]
 
 
@@ -347,14 +340,15 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     )
     rows = tables.texts(docs)
     # at most `sample` rows of 16 bytes
-    held = tables.keep(rows.join(F.broadcast(tables.keep(chosen, "labels")), rows["doc_id"] == F.col("id")).select("fold", "toxic", "text"), "sample")
+    labelled = rows.join(F.broadcast(tables.keep(chosen, "labels")), rows["doc_id"] == F.col("id"))
+    held = tables.keep(labelled.groupBy("id", "fold", "toxic").agg(F.min("text").alias("text")).drop("id"), "sample")  # at most `sample` rows
     count = {r.fold: r.t for r in held.groupBy("fold").agg(F.sum("toxic").alias("t")).collect()}
     fixed, second = hashes(ABUSE), hashes(SECOND)
     if not 0 < sum(count.values()) < held.count():
         return Model(Lexicon(fixed, second), None, np.zeros(0), np.zeros(0))
     halves = [Lexicon(fixed, second, _learn(held.filter(F.col("fold") == f), count.get(f, 0))) for f in (0, 1)]
     whole = Lexicon(fixed, second, _learn(held, sum(count.values())))
-    got = held.transform(tables.mapped, _features(halves), "fold int, toxic int, x array<double>").collect()  # at most `sample` rows (more if ids repeat)
+    got = held.transform(tables.mapped, _features(halves), "fold int, toxic int, x array<double>").collect()  # at most `sample` rows
     x = np.array([r.x for r in got], dtype=np.float64).reshape(-1, FEATURES)
     y = np.array([r.toxic for r in got], dtype=np.float64)
     fold = np.array([r.fold for r in got], dtype=np.int64)
@@ -385,9 +379,11 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame
 
     Null and empty texts get a score as texts without words.  A null doc_id is
     carried as null and not held out.  Labels with a null id or any value but 0
-    and 1 are not used; of several for one id the larger counts.  Without usable
-    labels of both values the score is a fixed lexicon's.  Repeated rows score alike.  An empty table gives no
-    rows.  Other columns are not read.
+    and 1 are not used; of several for one id the larger counts, and of several
+    texts under a labelled id the least one is learned from.  Without usable
+    labels of both values the score is a fixed lexicon's.  Repeated rows score
+    alike, and so do texts with equal features; very long texts are scored whole.
+    An empty table gives no rows.  Other columns are not read.
     """
     model = fit(docs, labels, sample)
     out = tables.texts(docs).select("doc_id", "text").transform(tables.mapped, _score(model), SCORED)
@@ -400,7 +396,12 @@ def op1(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that are not predicted to be toxic; scores are computed where the row is, so nothing is shuffled."""
+    """The documents that are not predicted to be toxic, with all their columns.
+
+    Scores are computed where the row is, so nothing is shuffled.  Null and empty
+    texts and null ids are scored like other rows; repeated rows stay or go
+    together.  An empty table gives none.
+    """
     model = fit(docs, tables.load(spark, sf_dir, "labels"))
 
     def run(batches):
