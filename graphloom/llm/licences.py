@@ -60,9 +60,9 @@ def templates(spark: SparkSession, base: dict[str, str], notices: dict[str, str]
 
 
 def _names(spark: SparkSession, base: dict[str, str], notices: dict[str, str]) -> DataFrame:
-    """(tid, label, own, pairs)."""
+    """(tid, label, added, pairs)."""
     rows = [(k, v, k >= len(base), len(x.split()) - 1) for k, (x, v) in enumerate([*base.items(), *notices.items()])]
-    return spark.createDataFrame(rows, "tid int, label string, own boolean, pairs int")
+    return spark.createDataFrame(rows, "tid int, label string, added boolean, pairs int")
 
 
 def scan(docs: DataFrame, base: dict[str, str] = BASE, notices: dict[str, str] = NOTICES) -> DataFrame:
@@ -73,7 +73,8 @@ def scan(docs: DataFrame, base: dict[str, str] = BASE, notices: dict[str, str] =
     beyond ASCII.  score is 1 where a base phrase stands, else the share of a
     notice that the best span covers, else 0.
 
-    A null or empty text has no words and empty labels.  A null doc_id is carried
+    A null or empty text has no words and empty labels; a very long one is scanned
+    whole.  A null doc_id is carried
     as null, repeated rows are scanned alike.  An empty table gives no rows.
     Columns beside doc_id and text are not read.
     """
@@ -81,28 +82,33 @@ def scan(docs: DataFrame, base: dict[str, str] = BASE, notices: dict[str, str] =
     rows = tables.texts(docs)
     # lower() also folds letters beyond ASCII; no word of a base phrase can come from one
     text = F.lower("text")
-    counted = rows.select("rk", "doc_id", F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("n_words"))
-    words = rows.select("rk", F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("words"))
-    pairs = words.select("rk", "words", F.posexplode_outer("words").alias("p", "w1")).select("rk", "p", "w1", F.get("words", F.col("p") + 1).alias("w2"))
+    words = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
+    # a last entry without a word stands for the row itself: its place is the number of words
+    ended = rows.select("rk", "doc_id", F.concat(words, F.array(F.lit(None).cast("string"))).alias("words"))
+    pairs = ended.select("rk", "doc_id", "words", F.posexplode("words").alias("p", "w1")).select("rk", "doc_id", "p", "w1", F.get("words", F.col("p") + 1).alias("w2"))
     known = F.broadcast(templates(spark, base, notices).withColumnsRenamed({"w1": "t1", "w2": "t2"}))  # a fixed table
-    votes = (
+    # stored, so that the texts are read once: a row per document and per pair that stands in a template
+    hits = tables.keep(
         pairs.withColumn("ph", F.xxhash64("w1", "w2"))
-        .join(known, (F.col("ph") == F.col("h")) & (F.col("w1") == F.col("t1")) & (F.col("w2") == F.col("t2")))
-        .groupBy("rk", "tid", (F.col("p") - F.col("t")).alias("diagonal"))
-        .agg(F.bit_or(F.expr("shiftleft(1L, t)")).alias("places"))
+        .join(known, (F.col("ph") == F.col("h")) & (F.col("w1") == F.col("t1")) & (F.col("w2") == F.col("t2")), "left")
+        .filter("w1 IS NULL OR tid IS NOT NULL")
+        .select("rk", "doc_id", F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("own"), "p", "tid", "t"),
+        "hits",
     )
-    beside = Window.partitionBy("rk", "tid").orderBy("diagonal")
+    counted = hits.filter("tid IS NULL").select("rk", "own", "doc_id", F.col("p").cast("long").alias("n_words"))
+    votes = hits.filter("tid IS NOT NULL").groupBy("rk", "own", "tid", (F.col("p") - F.col("t")).alias("diagonal")).agg(F.bit_or(F.expr("shiftleft(1L, t)")).alias("places"))
+    beside = Window.partitionBy("rk", "own", "tid").orderBy("diagonal")
     spans = (
         votes.join(F.broadcast(_names(spark, base, notices)), "tid")
-        .withColumn("new", F.coalesce((F.col("diagonal") - F.lag("diagonal").over(beside) > F.when(F.col("own"), NEAR).otherwise(0)).cast("int"), F.lit(1)))
+        .withColumn("new", F.coalesce((F.col("diagonal") - F.lag("diagonal").over(beside) > F.when(F.col("added"), NEAR).otherwise(0)).cast("int"), F.lit(1)))
         .withColumn("span", F.sum("new").over(beside.rowsBetween(Window.unboundedPreceding, 0)))
-        .groupBy("rk", "tid", "label", "own", "pairs", "span")
+        .groupBy("rk", "own", "tid", "label", "added", "pairs", "span")
         .agg(F.bit_count(F.bit_or("places")).alias("covered"), F.min("diagonal").alias("start"))
         .withColumn("share", F.col("covered") / F.col("pairs"))
-        .filter(F.col("share") >= F.when(F.col("own"), COVER).otherwise(1.0))
+        .filter(F.col("share") >= F.when(F.col("added"), COVER).otherwise(1.0))
     )
-    whole = ~F.col("own")
-    found = spans.groupBy("rk").agg(
+    whole = ~F.col("added")
+    found = spans.groupBy("rk", "own").agg(
         F.sum(whole.cast("long")).alias("n_base"),
         F.min(F.when(whole, F.col("start").cast("long"))).alias("first_word"),
         F.max(F.when(whole, F.col("start").cast("long"))).alias("last_word"),
@@ -110,7 +116,7 @@ def scan(docs: DataFrame, base: dict[str, str] = BASE, notices: dict[str, str] =
         F.concat_ws(",", F.array_sort(F.collect_set("label"))).alias("labels"),
         F.max("share").alias("score"),
     )
-    out = counted.join(found, "rk", "left")
+    out = counted.join(found, ["rk", "own"], "left")
     return out.select(
         "doc_id",
         "n_words",
