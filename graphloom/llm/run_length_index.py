@@ -48,6 +48,7 @@ class RunLengthIndex:
         used, dense = np.unique(data, return_inverse=True)
         code[body] = dense + len(strings)
         code[~body] = np.arange(len(strings))  # an end mark is unlike any other symbol
+        self.used = used
         self._sort(code, len(strings) + len(used))
         self._sample(code)
 
@@ -101,8 +102,45 @@ class RunLengthIndex:
         #: run ends with the match across the edge, and run starts likewise
         self.samples = np.concatenate([sa[edge], sa[edge + 1]])
         self.lengths = np.concatenate([shared, shared])
+        #: the transform: each run's symbol and first place, the place after the last run, and each symbol's first suffix
+        begin = np.append(0, edge + 1)[: self.runs]
+        self.heads, self.starts = before[begin], np.append(begin, len(sa))
+        self.first = np.concatenate([[0], np.cumsum(np.bincount(code, minlength=len(self.begin) - 1 + len(self.used)))])
         del self.ranks, self.suffixes
 
+    def _rank(self, symbol: int, place: int) -> int:
+        """How often the symbol stands in the transform before this place."""
+        own = np.flatnonzero(self.heads == symbol)
+        return int(np.clip(place - self.starts[own], 0, self.starts[own + 1] - self.starts[own]).sum())
+
+    def count(self, pattern: bytes) -> int:
+        """Occurrences of a pattern, by backward search over the runs."""
+        low, high = 0, int(self.begin[-1])
+        for byte in reversed(pattern):
+            at = int(np.searchsorted(self.used, byte))
+            if at == len(self.used) or self.used[at] != byte:
+                return 0
+            symbol = at + len(self.begin) - 1
+            low, high = (int(self.first[symbol]) + self._rank(symbol, x) for x in (low, high))
+            if low >= high:
+                return 0
+        return high - low
+
+    def text(self) -> bytes:
+        """The indexed text, read back from the runs; end marks are spaces."""
+        place = self.starts[:-1]
+        step = np.empty(int(self.begin[-1]), dtype=np.int64)  # from a suffix to the one that begins a symbol before
+        order = np.lexsort((place, self.heads))
+        size = np.diff(self.starts)[order]
+        step[np.repeat(place[order] - np.cumsum(size) + size, size) + np.arange(len(step))] = np.arange(len(step))
+        marks = len(self.begin) - 1
+        out, row = bytearray(len(step)), int(self.first[marks - 1]) if marks else 0  # the last end mark's suffix
+        for k in range(len(step) - 1, -1, -1):
+            symbol = int(np.searchsorted(self.first, row, "right")) - 1
+            out[k] = 32 if symbol < marks else int(self.used[symbol - marks])
+            row = int(step[row])
+        return bytes(out)
+
     def statistics(self) -> np.ndarray:
         """For each place of the indexed text: length of its longest match with any other place."""
         n = int(self.begin[-1])

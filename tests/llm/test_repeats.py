@@ -124,6 +124,19 @@ def test_index_against_all_pairs():
                 best = max(best, n)
         assert stats[index.begin[k] + s] == best
     assert index.runs <= len(stats)
+    assert index.text() == b" ".join(strings) + b" " * bool(strings)
+    for size in (1, 2, 3, 5):
+        for pattern in {x[k : k + size] for x in strings for k in range(len(x))} | {b"~", b"zz"}:
+            assert index.count(pattern) == sum(x[k : k + len(pattern)] == pattern for x in strings for k in range(len(x)))
+
+
+def test_runs_are_few_in_repetitive_text():
+    """A base and copies with one byte changed: the index grows with the changes, not with the copies."""
+    r = random.Random(1)
+    base = bytes(r.choice(b"acgt") for _ in range(2000))
+    copies = [base[:k] + b"x" + base[k + 1 :] for k in (r.randrange(2000) for _ in range(40))]
+    one, all_ = run_length_index.RunLengthIndex([base]), run_length_index.RunLengthIndex([base, *copies])
+    assert all_.runs < 2 * one.runs and all_.count(base[100:130]) >= 30
 
 
 def test_stage_keeps_clean_documents(spark):
