@@ -290,6 +290,7 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     bad = found.filter((F.size("hits") > 0) & (20 * F.size("hits") >= F.col("n_words"))).select(F.col("rk").alias(rk), F.col("doc_id").alias(own)).distinct()
     # stored, so that its size is known before the join: below the session's broadcast threshold no text is shuffled
     bad = tables.keep(bad, "contaminated")
+    tables.drop(found)  # the index, and hits of several blocks
     return docs.join(bad, (tables.row_key(docs) == F.col(rk)) & docs["doc_id"].cast("long").eqNullSafe(F.col(own)), "left_anti")
 
 
