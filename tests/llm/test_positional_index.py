@@ -70,11 +70,14 @@ def test_proximity(spark):
     assert {(r.doc_id, tuple(r.places)) for r in p.proximity(index, ["alpha", "beta"], 5).collect()} in ({(1, (0,))}, {(1, (3,))})
 
 
-def test_stage(spark):
+@pytest.mark.parametrize("block", [p.BLOCK, 3])
+def test_stage(spark, monkeypatch, block):
     import tempfile
 
+    monkeypatch.setattr(p, "BLOCK", block)
+
     folder = tempfile.mkdtemp()
-    d, b = tables_(spark, [(1, "a b c d"), (2, "e f g"), (None, "q"), (4, None)], [(1, "a b c d")])
+    d, b = tables_(spark, [(1, "a b c d"), (2, "e f g"), (None, "q"), (4, None), (5, "m n")], [(1, "a b c d"), (2, "z z"), (3, "m n")])
     b.write.parquet(f"{folder}/benchmark.parquet")
     out = p.stage(spark, d, folder)
     assert out.columns == d.columns
