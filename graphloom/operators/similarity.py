@@ -2,14 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources import shared
+from .ordering import positions
 
 
 #: In-neighbours of a node that are paired in one task, about.
 GROUP = 1000
+#: Neighbours in one list of `top_similar`, about.
+LIST = 256
+#: Candidates that a round of `top_similar` deals out: so many an edge, at least LEAST.
+PER_EDGE, LEAST = 4, 1 << 24
+#: Lists that a worker counts at once.
+ROWS = 2000
 
 
 def common_neighbours(edges: DataFrame) -> DataFrame:
@@ -43,9 +55,91 @@ def similarities(edges: DataFrame, kind: str = "jaccard") -> DataFrame:
 
 
 def top_similar(edges: DataFrame, k: int = 5, kind: str = "jaccard") -> DataFrame:
-    """(u, v, common, sim, rank): each node's k most similar nodes, ties to the smaller name."""
-    best = Window.partitionBy("u").orderBy(F.desc("sim"), "v")
-    return similarities(edges, kind).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    """(u, v, common, sim, rank): each node's k most similar nodes, ties to the smaller name.
+
+    No pair is shuffled.  Nodes get numbers in the order of their names, and every edge
+    u -> dst sends the list of dst's in-neighbours with their degrees to u's task, which
+    counts and ranks them.  What the lists hold grows faster than the edges, so the nodes u
+    take turns: a round deals out PER_EDGE candidates an edge and stores its ranks, and its
+    shuffle files go.  Lists are about LIST long; a hub has several, met by its own members
+    list by list.  Null nodes are similar to none.
+    """
+    spark = edges.sparkSession
+    shared.prepare(spark)
+    e = shared.store(edges.select("src", "dst").filter("src IS NOT NULL").distinct(), "distinct")
+    nodes = shared.store(positions(e.groupBy("src").agg(F.count("*").alias("d")), "idx", "src"), "nodes")
+    size, most = nodes.agg(F.count("*"), F.coalesce(F.max("d"), F.lit(0).cast("long"))).first()
+    whole = "int" if max(size, most) < 1 << 31 else "long"
+
+    numbers = nodes.select("src", F.col("idx").cast(whole).alias("v"), F.col("d").cast(whole).alias("d"))
+    coded = shared.store(e.filter("dst IS NOT NULL").join(numbers, "src").select("dst", "v", "d"), "coded")
+    shared.drop(e)
+    groups = coded.groupBy("dst").agg(F.count("*").alias("m")).withColumn("n", F.ceil(F.col("m") / LIST).cast("int"))
+    dealt = coded.join(groups, "dst").withColumn("g", F.pmod(F.xxhash64("v"), F.col("n")).cast("int"))
+    members = dealt.groupBy("dst", "n", "g").agg(F.sort_array(F.collect_list(F.struct("v", "d"))).alias("l"))
+    lists = shared.store(members.select("dst", "n", "g", F.col("l.v").alias("vs"), F.col("l.d").alias("ds")), "lists")
+    pairs, ends, several = groups.agg(F.sum(F.col("m").cast("double") * F.col("m")), F.sum("m"), F.max("n")).first()
+    shared.drop(coded)
+
+    rounds = max(1, math.ceil((pairs or 0) / max(LEAST, PER_EDGE * (ends or 0))))
+    ranked = [shared.store(_round(lists, (several or 0) > 1, whole, rounds, r, k, kind, size), "ranked") for r in range(rounds)]
+    shared.drop(lists)
+    best = ranked[0]
+    for more in ranked[1:]:
+        best = best.unionByName(more)
+    names = nodes.select("idx", "src")
+    named = best.join(names.select(F.col("idx").alias("u_idx"), F.col("src").alias("u")), "u_idx").join(names.select(F.col("idx").alias("v_idx"), F.col("src").alias("v")), "v_idx")
+    return named.select("u", "v", "common", "sim", "rank")
+
+
+def _round(lists: DataFrame, several: bool, whole: str, rounds: int, r: int, k: int, kind: str, size: int) -> DataFrame:
+    """(u_idx, v_idx, common, sim, rank) of the nodes whose number leaves the remainder r."""
+    own = F.filter(F.arrays_zip("vs", "ds"), lambda x: F.pmod(x["vs"], F.lit(rounds)) == r)
+    sent = lists.select(F.explode(own).alias("to"), "vs", "ds")
+    if several:
+        hubs = lists.filter("n > 1")
+        left = hubs.select("dst", F.col("g").alias("x"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("y"), own.alias("own")).filter("x <> y AND size(own) > 0")
+        right = hubs.select("dst", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("x"), F.col("g").alias("y"), "vs", "ds").filter("x <> y")
+        sent = sent.unionByName(left.join(right, ["dst", "x", "y"]).select(F.explode("own").alias("to"), "vs", "ds"))
+    rows = sent.select(F.col("to.vs").alias("u"), F.col("to.ds").alias("du"), "vs", "ds").repartition(F.col("u")).sortWithinPartitions("u")
+    return shared.mapped(rows, lambda batches: _ranked(batches, k, kind, size), "u_idx long, v_idx long, common long, sim double, rank int")
+
+
+def _ranked(batches: Iterator[pa.RecordBatch], k: int, kind: str, size: int) -> Iterator[pa.RecordBatch]:
+    """Ranks of rows (u, du, vs, ds) that come in the order of u; only counts of the last u are kept between batches."""
+    rest = [np.zeros(0, np.int64) for _ in range(5)]
+    for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
+        vs, ds = batch.column("vs"), batch.column("ds")
+        times = vs.value_lengths().to_numpy()
+        u, du = (np.repeat(batch.column(c).to_numpy().astype(np.int64), times) for c in ("u", "du"))
+        v, d = (x.flatten().to_numpy().astype(np.int64) for x in (vs, ds))
+        u, du, v, d, c = (np.concatenate(x) for x in zip(rest, (u, du, v, d, np.ones(len(u), np.int64)), strict=True))
+        turn = np.cumsum(np.diff(u, prepend=u[:1]) != 0)
+        key = turn * size + v
+        order = np.argsort(key)
+        first = np.flatnonzero(np.diff(key[order], prepend=-1))
+        pick = order[first]
+        counted = [u[pick], du[pick], v[pick], d[pick], np.add.reduceat(c[order], first)]
+        end = np.searchsorted(turn[pick], turn[-1])
+        rest = [x[end:] for x in counted]
+        yield _first_k([x[:end] for x in counted], k, kind)
+    yield _first_k(rest, k, kind)
+
+
+def _first_k(counted: list[np.ndarray], k: int, kind: str) -> pa.RecordBatch:
+    """The k best of every u, from rows (u, du, v, d, common) in the order of u and v."""
+    other = counted[0] != counted[2]
+    u, du, v, d, common = (x[other] for x in counted)
+    sim = {"jaccard": lambda: common / (du + d - common), "cosine": lambda: common / np.sqrt((du * d).astype(np.float64))}[kind]()
+    start = np.flatnonzero(np.diff(u, prepend=-1))
+    stop = np.append(start, len(u))[1:]
+    least = [np.partition(sim[a:b], b - a - k)[b - a - k] if b - a > k else 0.0 for a, b in zip(start, stop, strict=True)]
+    near = np.flatnonzero(sim >= np.repeat(np.array(least), stop - start))
+    near = near[np.lexsort((v[near], -sim[near], u[near]))]
+    start = np.flatnonzero(np.diff(u[near], prepend=-1))
+    rank = np.arange(len(near)) - np.repeat(start, np.diff(np.append(start, len(near)))) + 1
+    near, rank = near[rank <= k], rank[rank <= k]
+    return pa.RecordBatch.from_arrays([pa.array(u[near]), pa.array(v[near]), pa.array(common[near]), pa.array(sim[near]), pa.array(rank.astype(np.int32))], names=["u_idx", "v_idx", "common", "sim", "rank"])
 
 
 def peer_vote(peers: DataFrame, edges: DataFrame) -> DataFrame:

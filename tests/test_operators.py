@@ -1,5 +1,6 @@
 """Operators on hand fixtures and by their invariants."""
 
+import math
 import random
 
 import pytest
@@ -124,6 +125,52 @@ def test_similarity(spark):
     assert votes[("a", "z")] == (1, 1, 1) and votes[("b", "y")] == (1, 2, 0)
 
 
+def shuffled(spark):
+    """Records that all stages so far have written to shuffles."""
+    jvm = spark.sparkContext._jvm
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return {(stages.apply(k).stageId(), stages.apply(k).attemptId()): stages.apply(k).shuffleWriteRecords() for k in range(stages.size())}
+
+
+def most_similar(edges, k, kind):
+    out = {}
+    for u, dst in edges:
+        if u is not None:
+            out.setdefault(u, set()).add(dst)
+    top = {}
+    for u in out:
+        found = []
+        for v in out:
+            if u != v and (common := len((out[u] & out[v]) - {None})):
+                by = {"jaccard": len(out[u]) + len(out[v]) - common, "cosine": math.sqrt(len(out[u]) * len(out[v]))}[kind]
+                found.append((-common / by, v, common))
+        top |= {(u, rank): (v, common, -s) for rank, (s, v, common) in enumerate(sorted(found)[:k], 1)}
+    return top
+
+
+def test_similarity_shuffles_no_pairs(spark):
+    r = random.Random(5)
+    rows = [(f"c{u}", f"p{dst}") for u in range(300) for dst in r.sample(range(60), 20)]
+    edges, before = frame(spark, rows, "src string, dst string"), shuffled(spark)
+    got = {(x.u, x["rank"]): (x.v, x.common, x.sim) for x in similarity.top_similar(edges).collect()}
+    assert got == most_similar(rows, 5, "jaccard")
+    assert 0 < sum(n for stage, n in shuffled(spark).items() if stage not in before) < 300 * 299 / 2
+
+
+@pytest.mark.parametrize("kind", ["jaccard"])
+def test_similarity_in_rounds_with_hubs(spark, monkeypatch, kind):
+    monkeypatch.setattr(similarity, "LIST", 4)
+    monkeypatch.setattr(similarity, "PER_EDGE", 2)
+    monkeypatch.setattr(similarity, "LEAST", 1)
+    r = random.Random(6)
+    rows = [(f"c{u}", f"p{min(r.randrange(30), r.randrange(30))}") for u in range(40) for _ in range(r.randrange(8))]
+    rows += [(f"c{u}", "hub") for u in range(60)] + [(None, "p1"), ("c1", None), ("c2", None), ("only", None), ("alone", "q")]
+    edges = frame(spark, rows, "src string, dst string")
+    top = similarity.top_similar(edges, 4, kind)
+    assert {(x.u, x["rank"]): (x.v, x.common, x.sim) for x in top.collect()} == most_similar(rows, 4, kind)
+    assert similarity.top_similar(edges.filter("src = '?'")).collect() == []
+
+
 def test_gradient_against_differences(spark):
     r = random.Random(4)
     vec = {k: [r.uniform(-1, 1) for _ in range(3)] for k in range(5)}
