@@ -157,7 +157,7 @@ def test_similarity_shuffles_no_pairs(spark):
     assert 0 < sum(n for stage, n in shuffled(spark).items() if stage not in before) < 300 * 299 / 2
 
 
-@pytest.mark.parametrize("kind", ["jaccard"])
+@pytest.mark.parametrize("kind", ["jaccard", "cosine"])
 def test_similarity_in_rounds_with_hubs(spark, monkeypatch, kind):
     monkeypatch.setattr(similarity, "LIST", 4)
     monkeypatch.setattr(similarity, "PER_EDGE", 2)
