@@ -16,10 +16,12 @@ from .ordering import positions
 
 #: In-neighbours of a node that are paired in one task, about.
 GROUP = 1000
-#: Neighbours in one list of `top_similar`, about.
+#: Neighbours in one list of `top_similar`, and of `peer_vote`, about.
 LIST = 256
 #: Candidates that a round of `top_similar` deals out: so many an edge, at least LEAST.
 PER_EDGE, LEAST = 4, 1 << 24
+#: Votes that a round of `peer_vote` deals out for every edge, if more than LEAST.
+VOTES = 2
 #: Lists that a worker counts at once.
 ROWS = 2000
 
@@ -143,12 +145,35 @@ def _first_k(counted: list[np.ndarray], k: int, kind: str) -> pa.RecordBatch:
 
 
 def peer_vote(peers: DataFrame, edges: DataFrame) -> DataFrame:
-    """(u, dst, votes, peers, predicted): dst is predicted if more than half of u's peers point to it."""
+    """(u, dst, votes, peers, predicted): dst is predicted if more than half of u's peers point to it.
+
+    A peer's out-neighbours travel to u as lists of about LIST, once; votes are counted
+    there.  As in `top_similar`, the nodes u take turns where there are many votes.
+    """
+    shared.prepare(edges.sparkSession)
+    e = edges.select("src", "dst").distinct()
+    groups = e.groupBy("src").agg(F.ceil(F.count("*") / LIST).cast("int").alias("n"))
+    dealt = e.join(groups, "src").withColumn("g", F.pmod(F.xxhash64("dst"), F.col("n")).cast("int"))
+    null = F.when(F.max(F.col("dst").isNull()), F.array(F.lit(None).cast(e.schema["dst"].dataType))).otherwise(F.array())
+    lists = shared.store(dealt.groupBy("src", "g").agg(F.concat(F.collect_list("dst"), null).alias("dsts")).select("src", "dsts"), "lists")
     count = peers.groupBy("u").agg(F.count("*").alias("peers"))
-    votes = (
-        peers.select("u", F.col("v").alias("src"))
-        .join(edges.select("src", "dst").distinct(), "src")
-        .groupBy("u", "dst")
-        .agg(F.count("*").alias("votes"))
-    )
-    return votes.join(count, "u").withColumn("predicted", (2 * F.col("votes") > F.col("peers")).cast("int"))
+    asked = shared.store(peers.join(count, "u").select("u", F.col("v").alias("src"), "peers"), "asked")
+
+    sizes = lists.groupBy("src").agg(F.sum(F.size("dsts")).alias("m"))
+    ends = sizes.agg(F.sum("m")).first()[0] or 0
+    cast = asked.groupBy("src").agg(F.count("*").alias("times")).join(sizes, "src").agg(F.sum(F.col("times").cast("double") * F.col("m"))).first()[0] or 0
+    rounds = max(1, math.ceil(cast / max(LEAST, VOTES * ends)))
+    if rounds == 1:
+        return _votes(asked, lists)
+    found = [shared.store(_votes(asked.filter(F.pmod(F.xxhash64("u"), F.lit(rounds)) == r), lists), "votes") for r in range(rounds)]
+    shared.drop(asked, lists)
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def _votes(asked: DataFrame, lists: DataFrame) -> DataFrame:
+    sent = asked.join(lists, "src").select("u", "peers", "dsts").repartition(F.col("u"))
+    votes = sent.select("u", "peers", F.explode("dsts").alias("dst")).groupBy("u", "peers", "dst").agg(F.count("*").alias("votes"))
+    return votes.select("u", "dst", "votes", "peers", (2 * F.col("votes") > F.col("peers")).cast("int").alias("predicted"))

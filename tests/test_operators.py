@@ -2,6 +2,7 @@
 
 import math
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -170,6 +171,22 @@ def test_similarity_in_rounds_with_hubs(spark, monkeypatch, kind):
     assert {(x.u, x["rank"]): (x.v, x.common, x.sim) for x in top.collect()} == most_similar(rows, 4, kind)
     assert similarity.top_similar(edges.filter("src = '?'")).collect() == []
 
+    peers = {}
+    for (u, _), (v, *_) in most_similar(rows, 4, kind).items():
+        peers.setdefault(u, []).append(v)
+    votes = Counter((u, dst) for u, vs in peers.items() for v in vs for dst in {d for s, d in rows if s == v})
+    found = {(x.u, x.dst): (x.votes, x.peers, x.predicted) for x in similarity.peer_vote(top, edges).collect()}
+    assert found == {(u, dst): (n, len(peers[u]), int(2 * n > len(peers[u]))) for (u, dst), n in votes.items()}
+
+
+@pytest.mark.parametrize("least", [1 << 24, 1])
+def test_peer_vote_sends_lists(spark, monkeypatch, least):
+    monkeypatch.setattr(similarity, "LEAST", least)
+    edges = frame(spark, [(f"c{u}", f"p{100 * u + d}") for u in range(40) for d in range(100)], "src string, dst string")
+    peers, before = frame(spark, [(f"c{u}", f"c{(u + k) % 40}") for u in range(40) for k in range(1, 6)], "u string, v string"), shuffled(spark)
+    assert similarity.peer_vote(peers, edges).filter("votes = 1 AND peers = 5 AND predicted = 0").count() == 5 * 40 * 100
+    assert 0 < sum(n for stage, n in shuffled(spark).items() if stage not in before) < 5 * 40 * 100
+
 
 def test_gradient_against_differences(spark):
     r = random.Random(4)
