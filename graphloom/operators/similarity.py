@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,11 +21,13 @@ GROUP = 1000
 #: Neighbours in one list of `top_similar`, and of `peer_vote`, about.
 LIST = 256
 #: Candidates that a round of `top_similar` deals out: so many an edge, at least LEAST.
-PER_EDGE, LEAST = 4, 1 << 24
+PER_EDGE, LEAST = 3, 1 << 24
 #: Votes that a round of `peer_vote` deals out for every edge, if more than LEAST.
 VOTES = 2
-#: Lists that a worker counts at once.
-ROWS = 2000
+#: Parts in which `top_similar` prepares the edges, if there are more than LEAST.
+TURNS = 4
+#: Lists that a worker counts at once, and bytes of lists that it sends in a batch, about.
+ROWS, BYTES = 2000, 4 << 20
 
 
 def common_neighbours(edges: DataFrame) -> DataFrame:
@@ -63,58 +67,112 @@ def top_similar(edges: DataFrame, k: int = 5, kind: str = "jaccard") -> DataFram
     u -> dst sends the list of dst's in-neighbours with their degrees to u's task, which
     counts and ranks them.  What the lists hold grows faster than the edges, so the nodes u
     take turns: a round deals out PER_EDGE candidates an edge and stores its ranks, and its
-    shuffle files go.  Lists are about LIST long; a hub has several, met by its own members
-    list by list.  Null nodes are similar to none.
+    shuffle files go.  Lists are about LIST long and travel as bytes, as few a number as the
+    largest takes; a hub has several, met by its own members list by list.  Before that, edges
+    are made distinct, numbered and listed in TURNS parts.  Null nodes are similar to none.
     """
     spark = edges.sparkSession
     shared.prepare(spark)
-    e = shared.store(edges.select("src", "dst").filter("src IS NOT NULL").distinct(), "distinct")
-    nodes = shared.store(positions(e.groupBy("src").agg(F.count("*").alias("d")), "idx", "src"), "nodes")
+    raw = shared.store(edges.select("src", "dst").filter("src IS NOT NULL"), "edges", "zstd")
+    turns = TURNS if raw.count() > LEAST else 1
+    parts = [shared.store(_part(raw, "src", turns, t).distinct(), "distinct", "zstd") for t in range(turns)]
+    shared.drop(raw)
+    nodes = shared.store(positions(_all(parts).groupBy("src").agg(F.count("*").alias("d")), "idx", "src"), "nodes")
     size, most = nodes.agg(F.count("*"), F.coalesce(F.max("d"), F.lit(0).cast("long"))).first()
     whole = "int" if max(size, most) < 1 << 31 else "long"
+    wide = tuple(max(1, (x.bit_length() + 7) // 8) for x in (size, most))
 
     numbers = nodes.select("src", F.col("idx").cast(whole).alias("v"), F.col("d").cast(whole).alias("d"))
-    coded = shared.store(e.filter("dst IS NOT NULL").join(numbers, "src").select("dst", "v", "d"), "coded")
-    shared.drop(e)
-    groups = coded.groupBy("dst").agg(F.count("*").alias("m")).withColumn("n", F.ceil(F.col("m") / LIST).cast("int"))
-    dealt = coded.join(groups, "dst").withColumn("g", F.pmod(F.xxhash64("v"), F.col("n")).cast("int"))
-    members = dealt.groupBy("dst", "n", "g").agg(F.sort_array(F.collect_list(F.struct("v", "d"))).alias("l"))
-    lists = shared.store(members.select("dst", "n", "g", F.col("l.v").alias("vs"), F.col("l.d").alias("ds")), "lists")
-    pairs, ends, several = groups.agg(F.sum(F.col("m").cast("double") * F.col("m")), F.sum("m"), F.max("n")).first()
-    shared.drop(coded)
+    coded = []
+    for t, part in enumerate(parts):
+        coded.append(shared.store(part.filter("dst IS NOT NULL").join(_part(numbers, "src", turns, t), "src").select("dst", "v", "d"), "coded", "zstd"))
+        shared.drop(part)
+    listed = [shared.store(_lists(_part(_all(coded), "dst", turns, t), wide), "lists") for t in range(turns)]
+    shared.drop(*coded)
+    lists, length = _all(listed), F.octet_length("list") / sum(wide)
+    pairs, ends, several = lists.agg(F.sum(length * F.col("m")), F.sum(length), F.max("n")).first()
 
     rounds = max(1, math.ceil((pairs or 0) / max(LEAST, PER_EDGE * (ends or 0))))
-    ranked = [shared.store(_round(lists, (several or 0) > 1, whole, rounds, r, k, kind, size), "ranked") for r in range(rounds)]
-    shared.drop(lists)
-    best = ranked[0]
-    for more in ranked[1:]:
-        best = best.unionByName(more)
+    ranked = [shared.store(_round(lists, (several or 0) > 1, wide, rounds, r, k, kind, size), "ranked") for r in range(rounds)]
+    shared.drop(*listed)
     names = nodes.select("idx", "src")
-    named = best.join(names.select(F.col("idx").alias("u_idx"), F.col("src").alias("u")), "u_idx").join(names.select(F.col("idx").alias("v_idx"), F.col("src").alias("v")), "v_idx")
+    named = _all(ranked).join(names.select(F.col("idx").alias("u_idx"), F.col("src").alias("u")), "u_idx").join(names.select(F.col("idx").alias("v_idx"), F.col("src").alias("v")), "v_idx")
     return named.select("u", "v", "common", "sim", "rank")
 
 
-def _round(lists: DataFrame, several: bool, whole: str, rounds: int, r: int, k: int, kind: str, size: int) -> DataFrame:
+def _part(frame: DataFrame, key: str, parts: int, part: int) -> DataFrame:
+    return frame if parts == 1 else frame.filter(F.pmod(F.xxhash64(F.lit("part"), F.col(key)), F.lit(parts)) == part)
+
+
+def _all(frames: list[DataFrame]) -> DataFrame:
+    return functools.reduce(DataFrame.unionByName, frames)
+
+
+def _lists(coded: DataFrame, wide: tuple[int, int]) -> DataFrame:
+    """(dst, m, n, g, list): dst's m in-neighbours, dealt out to n lists."""
+    groups = coded.groupBy("dst").agg(F.count("*").alias("m")).withColumn("n", F.ceil(F.col("m") / LIST).cast("int"))
+    dealt = coded.join(groups, "dst").withColumn("g", F.pmod(F.xxhash64("v"), F.col("n")).cast("int"))
+    members = dealt.groupBy("dst", "m", "n", "g").agg(F.sort_array(F.collect_list(F.struct("v", "d"))).alias("l"))
+    kind = coded.schema["dst"].dataType.simpleString()
+    return shared.mapped(members.select("dst", "m", "n", "g", F.col("l.v").alias("vs"), F.col("l.d").alias("ds")), lambda batches: _packed(batches, wide), f"dst {kind}, m long, n int, g int, list binary")
+
+
+def _packed(batches: Iterator[pa.RecordBatch], wide: tuple[int, int]) -> Iterator[pa.RecordBatch]:
+    """Numbers and degrees one after the other in a list's bytes, each in its fixed width."""
+    for batch in batches:
+        vs, ds = batch.column("vs"), batch.column("ds")
+        ends = np.append(0, np.cumsum(vs.value_lengths().to_numpy())) * sum(wide)
+        data = np.hstack([x.flatten().to_numpy().astype("<i8").view(np.uint8).reshape(-1, 8)[:, :w] for x, w in zip((vs, ds), wide, strict=True)])
+        packed = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("dst", "m", "n", "g")), packed], names=["dst", "m", "n", "g", "list"])
+
+
+def _unpacked(lists: pa.Array, wide: tuple[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers, degrees, and how many each list has."""
+    lists = lists.cast(pa.binary())
+    if not len(lists):
+        return (np.zeros(0, np.int64),) * 3
+    ends = np.frombuffer(lists.buffers()[1], np.int32)[lists.offset : lists.offset + len(lists) + 1]
+    data = np.frombuffer(lists.buffers()[2], np.uint8)[ends[0] : ends[-1]].reshape(-1, sum(wide))
+    out = []
+    for x in (data[:, : wide[0]], data[:, wide[0] :]):
+        full = np.zeros((len(x), 8), np.uint8)
+        full[:, : x.shape[1]] = x
+        out.append(full.view("<i8").ravel())
+    return *out, np.diff(ends) // sum(wide)
+
+
+def _round(lists: DataFrame, several: bool, wide: tuple[int, int], rounds: int, r: int, k: int, kind: str, size: int) -> DataFrame:
     """(u_idx, v_idx, common, sim, rank) of the nodes whose number leaves the remainder r."""
-    own = F.filter(F.arrays_zip("vs", "ds"), lambda x: F.pmod(x["vs"], F.lit(rounds)) == r)
-    sent = lists.select(F.explode(own).alias("to"), "vs", "ds")
+    met = lists.select(F.col("list").alias("own"), F.col("list").alias("sent"))
     if several:
         hubs = lists.filter("n > 1")
-        left = hubs.select("dst", F.col("g").alias("x"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("y"), own.alias("own")).filter("x <> y AND size(own) > 0")
-        right = hubs.select("dst", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("x"), F.col("g").alias("y"), "vs", "ds").filter("x <> y")
-        sent = sent.unionByName(left.join(right, ["dst", "x", "y"]).select(F.explode("own").alias("to"), "vs", "ds"))
-    rows = sent.select(F.col("to.vs").alias("u"), F.col("to.ds").alias("du"), "vs", "ds").repartition(F.col("u")).sortWithinPartitions("u")
-    return shared.mapped(rows, lambda batches: _ranked(batches, k, kind, size), "u_idx long, v_idx long, common long, sim double, rank int")
-
-
-def _ranked(batches: Iterator[pa.RecordBatch], k: int, kind: str, size: int) -> Iterator[pa.RecordBatch]:
-    """Ranks of rows (u, du, vs, ds) that come in the order of u; only counts of the last u are kept between batches."""
+        left = hubs.select("dst", F.col("g").alias("x"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("y"), F.col("list").alias("own")).filter("x <> y")
+        right = hubs.select("dst", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("x"), F.col("g").alias("y"), F.col("list").alias("sent")).filter("x <> y")
+        met = met.unionByName(left.join(right, ["dst", "x", "y"]).select("own", "sent"))
+    rows = shared.mapped(met, lambda batches: _sent(batches, wide, rounds, r), "u long, du long, list binary")
+    rows = rows.repartition(F.col("u")).sortWithinPartitions("u")
+    return shared.mapped(rows, lambda batches: _ranked(batches, wide, k, kind, size), "u_idx long, v_idx long, common long, sim double, rank int")
+
+
+def _sent(batches: Iterator[pa.RecordBatch], wide: tuple[int, int], rounds: int, r: int) -> Iterator[pa.RecordBatch]:
+    """A row (u, du, list) for every member u of `own` whose turn it is, in batches of about BYTES."""
+    for batch in batches:
+        sent = batch.column("sent")
+        u, du, times = _unpacked(batch.column("own"), wide)
+        mine = np.flatnonzero(u % rounds == r)
+        row = np.repeat(np.arange(len(times)), times)[mine]
+        total = np.cumsum(pc.binary_length(sent).to_numpy().astype(np.int64)[row])
+        for part in np.split(np.arange(len(mine)), np.flatnonzero(np.diff(total // BYTES)) + 1):
+            yield pa.RecordBatch.from_arrays([pa.array(u[mine[part]]), pa.array(du[mine[part]]), sent.take(pa.array(row[part]))], names=["u", "du", "list"])
+
+
+def _ranked(batches: Iterator[pa.RecordBatch], wide: tuple[int, int], k: int, kind: str, size: int) -> Iterator[pa.RecordBatch]:
+    """Ranks of rows (u, du, list) that come in the order of u; only counts of the last u are kept between batches."""
     rest = [np.zeros(0, np.int64) for _ in range(5)]
     for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
-        vs, ds = batch.column("vs"), batch.column("ds")
-        times = vs.value_lengths().to_numpy()
-        u, du = (np.repeat(batch.column(c).to_numpy().astype(np.int64), times) for c in ("u", "du"))
-        v, d = (x.flatten().to_numpy().astype(np.int64) for x in (vs, ds))
+        v, d, times = _unpacked(batch.column("list"), wide)
+        u, du = (np.repeat(batch.column(c).to_numpy(), times) for c in ("u", "du"))
         u, du, v, d, c = (np.concatenate(x) for x in zip(rest, (u, du, v, d, np.ones(len(u), np.int64)), strict=True))
         turn = np.cumsum(np.diff(u, prepend=u[:1]) != 0)
         key = turn * size + v

@@ -4,6 +4,7 @@ import math
 import random
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -188,6 +189,30 @@ def test_peer_vote_sends_lists(spark, monkeypatch, least):
     assert 0 < sum(n for stage, n in shuffled(spark).items() if stage not in before) < 5 * 40 * 100
 
 
+def test_similarity_shuffles_few_edges_at_once(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "LEAST", 1)
+    monkeypatch.setattr(similarity, "PER_EDGE", 40)
+    r = random.Random(8)
+    rows = [(f"c{u}", f"p{dst}") for u in range(300) for dst in r.sample(range(60), 20)]
+    edges, before = frame(spark, rows, "src string, dst string"), shuffled(spark)
+    got = {(x.u, x["rank"]): (x.v, x.common, x.sim) for x in similarity.top_similar(edges, 5, "cosine").collect()}
+    assert got == most_similar(rows, 5, "cosine")
+    assert max(n for stage, n in shuffled(spark).items() if stage not in before) < len(rows) / 2
+
+
+@pytest.mark.parametrize("largest", [1, 255, 256, 70_000, 1 << 40])
+def test_lists_as_bytes(largest):
+    r = random.Random(9)
+    want = [[(r.randrange(largest + 1), r.randrange(300)) for _ in range(n)] for n in (3, 0, 1, 7)] + [[(largest, 299)]]
+    wide = (max(1, -(-largest.bit_length() // 8)), 2)
+    columns = [["x"] * 5, [1] * 5, [1] * 5, [0] * 5, *([[x[k] for x in own] for own in want] for k in (0, 1))]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, (pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64())), strict=True)], names=["dst", "m", "n", "g", "vs", "ds"])
+    for start in (0, 2):
+        (packed,) = similarity._packed([batch.slice(start)], wide)
+        v, d, times = similarity._unpacked(packed.column("list").slice(1), wide)
+        assert list(zip(v, d)) == [x for own in want[start + 1 :] for x in own] and list(times) == [len(own) for own in want[start + 1 :]]
+
+
 def test_gradient_against_differences(spark):
     r = random.Random(4)
     vec = {k: [r.uniform(-1, 1) for _ in range(3)] for k in range(5)}
