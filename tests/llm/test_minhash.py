@@ -2,9 +2,10 @@
 
 import random
 
+import numpy as np
 import pytest
 
-from graphloom.llm import components, minhash
+from graphloom.llm import components, minhash, tables
 
 
 def brute(rows, k, percent):
@@ -88,6 +89,39 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def test_own_stars_connect_what_edges_connect():
+    r = np.random.default_rng(3)
+    for n, m in ((2, 1), (50, 30), (400, 390), (3000, 3500)):
+        u, v = r.integers(-n, n, (2, m))
+        u, v = np.concatenate([u, np.arange(5 * n, 6 * n)]), np.concatenate([v, np.arange(5 * n, 6 * n) + 1])  # a long path, too
+        root = {x: x for x in (*u.tolist(), *v.tolist())}
+        moved = True
+        while moved:
+            moved = False
+            for a, b in zip(u.tolist(), v.tolist(), strict=True):
+                low = min(root[a], root[b])
+                moved |= root[a] != low or root[b] != low
+                root[a] = root[b] = low
+        assert dict(zip(*(x.tolist() for x in components.stars(u, v)), strict=True)) == {k: low for k, low in root.items() if k != low}
+    assert not len(components.stars(u[:0], v[:0])[0])
+
+
+def test_few_edges_take_no_rounds(spark, monkeypatch):
+    """What one task can hold is done at once, however long its paths; more edges alternate stars as before."""
+    stored, keep = [], tables.keep
+    monkeypatch.setattr(tables, "keep", lambda frame, name: stored.append(name) or keep(frame, name))
+    r = random.Random(8)
+    edges = [(i, i + 1) for i in range(300)] + [(1000, 1000 + k) for k in range(1, 60)] * 2
+    r.shuffle(edges)
+    frame = spark.createDataFrame(edges, "u long, v long").repartition(7)
+    wanted = {i: 0 for i in range(1, 301)} | {1000 + k: 1000 for k in range(1, 60)}
+    for bound, most in ((1 << 18, 2), (20, 99)):
+        monkeypatch.setattr(components, "EDGES", bound)
+        stored.clear()
+        got = [(x.node, x.root) for x in components.components(frame).collect()]
+        assert dict(got) == wanted and len(got) == len(wanted) and len(stored) <= most and ("least" in stored) == (bound == 20)
+
+
 def test_empty_and_stage(spark):
     kind = "doc_id long, text string, lang string, source string, n_chars long"
     assert minhash.near_duplicates(spark.createDataFrame([], kind)).count() == 0
